@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from tokenloom.llm import words as W
 
 #: Entries that a worker's cache holds before it starts anew.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 
 #: Letters whose NFC form and lower case are known without Unicode tables, then plain punctuation.
 PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,!?;:%*#&$|-]*)$"

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on together; one longer text forms a slice alone.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -25,6 +25,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         end = max(begin + 1, int(np.searchsorted(ends, done + limit, side="right")))
         yield batch.slice(begin, end - begin)
         begin = end
+    pa.default_memory_pool().release_unused()
 
 
 @dataclass
