@@ -62,8 +62,8 @@ def replicate(docs: DataFrame, seed: int = 7, weights: dict[str, float] | None =
     drawn = docs.join(shape, docs["source"].eqNullSafe(shape["_source"]))
     digest = F.md5(F.coalesce(docs["text"].cast("string"), F.lit("~")).cast("binary"))
     name = [F.lit(str(seed)), docs["doc_id"], digest]
-    part = lambda i: F.size(F.filter("cdf", lambda c: c <= uniform(*name, i)))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, i: acc + part(i))
+    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda i: uniform(*name, i))
+    count = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter("cdf", lambda c: c <= u)))
     kept = drawn.withColumn("_count", count).filter("_count > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_count"))))
     key = uniform(F.lit("order"), *name, F.col(copy))
     out = kept.select(*[docs[c] for c in docs.columns], F.col(copy).cast("long").alias(copy), key.alias(order))
