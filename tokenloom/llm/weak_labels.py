@@ -5,8 +5,8 @@ documents are counted by pattern (at most 3**9), and expectation-maximisation
 on these counts estimates how often each heuristic says what of good and of bad
 documents, without any label. The posteriors of the patterns then label a
 sample of at most ``sample_rows`` documents (those with the smallest hashed
-ids), on which a logistic scorer over hashed words, word shapes and word
-endings is trained. It scores every document; one stays if its score is at
+ids), on which a logistic scorer over hashed words and word marks (length,
+symbols, capitals, ending) and repeats is trained. It scores every document; one stays if its score is at
 least ``threshold``.
 
 A null or empty text has no words: only the length heuristic votes. Repeated
@@ -37,9 +37,32 @@ class Settings:
     sample_rows: int = 12_000
     rounds: int = 100
     steps: int = 60
-    rate: float = 4.0
-    decay: float = 1e-4
-    threshold: float = 0.5
+    rate: float = 1.0
+    decay: float = 1e-5
+    threshold: float = 0.25
+
+
+@dataclass
+class Marks:
+    """What the heuristics and the scorer look at in a single word."""
+
+    length: np.ndarray
+    symbols: np.ndarray
+    upper: np.ndarray
+    ends: np.ndarray
+    blank: np.ndarray
+
+    @classmethod
+    def of(cls, vocabulary: pa.Array) -> Marks:
+        plain = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
+        upper = pc.and_(pc.equal(pc.utf8_upper(vocabulary), vocabulary), pc.match_substring_regex(vocabulary, r"\pL\pL"))
+        return cls(
+            plain(pc.utf8_length(vocabulary)), plain(pc.count_substring_regex(vocabulary, r"[#*$%&|<>]")), plain(upper),
+            plain(pc.match_substring_regex(vocabulary, r"[.!?,;:]$")), plain(pc.invert(pc.match_substring_regex(vocabulary, r"[\pL\pN]"))),
+        )
+
+    def code(self) -> np.ndarray:
+        return (((np.minimum(self.length, 15) * 4 + np.minimum(self.symbols, 3)) * 2 + self.upper) * 2 + self.ends) * 2 + self.blank
 
 
 def votes(column: pa.Array, words: W.Words) -> np.ndarray:
@@ -47,32 +70,28 @@ def votes(column: pa.Array, words: W.Words) -> np.ndarray:
     texts = W.nonnull(column)
     n = words.counts.astype(float)
     safe = np.maximum(n, 1)
-    vocabulary = words.vocabulary
+    marks = Marks.of(words.vocabulary)
     owner = np.repeat(np.arange(len(n)), words.counts)
-    of_text = lambda per_word: np.bincount(owner, weights=np.asarray(per_word, float)[words.codes], minlength=len(n))
-    length = of_text(pc.utf8_length(vocabulary).to_numpy(zero_copy_only=False)) / safe
-    symbols = of_text(pc.count_substring_regex(vocabulary, r"[#*$%&|<>]").to_numpy(zero_copy_only=False)) / safe
-    upper = pc.and_(pc.equal(pc.utf8_upper(vocabulary), vocabulary), pc.match_substring_regex(vocabulary, r"\pL\pL"))
-    capitals = of_text(upper.to_numpy(zero_copy_only=False)) / safe
-    ends = of_text(pc.match_substring_regex(vocabulary, r"[.!?,;:]$").to_numpy(zero_copy_only=False)) / safe
-    blank = of_text(pc.invert(pc.match_substring_regex(vocabulary, r"[\pL\pN]")).to_numpy(zero_copy_only=False)) / safe
-    pairs, times = np.unique(owner * np.int64(max(len(vocabulary), 1)) + words.codes, return_counts=True)
-    where = pairs // max(len(vocabulary), 1)
+    share = lambda per_word: np.bincount(owner, weights=per_word.astype(float)[words.codes], minlength=len(n)) / safe
+    length, symbols, capitals, ends, blank = map(share, (marks.length, marks.symbols, marks.upper, marks.ends, marks.blank))
+    size = max(len(words.vocabulary), 1)
+    pairs, times = np.unique(owner * size + words.codes, return_counts=True)
+    where = pairs // size
     variety = np.bincount(where, minlength=len(n)) / np.sqrt(safe)
     top = np.zeros(len(n))
     np.maximum.at(top, where, times)
     top = top / safe
     lines = pc.add(pc.count_substring(texts, "\n"), 1).to_numpy(zero_copy_only=False)
     again = np.fromiter(map(repeated_lines, texts.to_pylist()), float, len(texts)) / lines
-    some = n > 0
+    some, long = n > 0, n >= 20
 
     def vote(bad, good):
         return np.where(some & bad, -1, np.where(some & good, 1, 0))
 
     return np.stack([
-        np.where(n < 20, -1, np.where(n >= 50, 1, 0)), vote((length < 2.5) | (length > 14), (length > 3.2) & (length < 11)), vote(symbols > 0.15, symbols < 0.05),
-        vote(capitals > 0.5, capitals < 0.2), vote(variety < 2.0, variety > 3.5), vote((ends < 0.005) | (ends > 0.6), (ends > 0.02) & (ends < 0.4)),
-        vote(again > 0.3, again < 0.1), vote(top > 0.2, top < 0.12), vote(blank > 0.2, blank < 0.05),
+        np.where(n < 5, -1, np.where(n >= 50, 1, 0)), vote((length < 2.5) | (length > 14), (length > 3.2) & (length < 11)), vote(symbols > 0.15, symbols < 0.05),
+        vote(capitals > 0.5, capitals < 0.2), vote(long & (variety < 2.0), variety > 3.5), vote(long & ((ends < 0.005) | (ends > 0.6)), (ends > 0.02) & (ends < 0.4)),
+        vote(again > 0.3, again < 0.1), vote(long & (top > 0.2), top < 0.12), vote(blank > 0.2, blank < 0.05),
     ], axis=1).astype(np.int64)
 
 
@@ -112,35 +131,46 @@ def accuracies(table: np.ndarray) -> dict[str, float]:
     return dict(zip(LABELLERS, right.tolist()))
 
 
+def buckets_of(words: W.Words, buckets: int) -> list[np.ndarray]:
+    """The hashed features of each distinct word: itself, lower-cased, and its marks."""
+    code = Marks.of(words.vocabulary).code().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return [((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64) for h in (hashes(words.vocabulary), code)]
+
+
+def echoes(words: W.Words, owner: np.ndarray) -> np.ndarray:
+    """Words of each text that repeat the word before."""
+    same = (words.codes[1:] == words.codes[:-1]) & (owner[1:] == owner[:-1])
+    return np.bincount(owner[1:][same], minlength=len(words.bounds) - 1)
+
+
 def features(words: W.Words, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, bucket and weight of every hashed feature; the squares of a text's weights sum to one."""
-    vocabulary = words.vocabulary
-    shape = pc.replace_substring_regex(pc.replace_substring_regex(pc.replace_substring_regex(vocabulary, r"\p{Lu}+", "X"), r"\p{Ll}+", "x"), r"\d+", "9")
-    ending = pc.utf8_slice_codeunits(vocabulary, start=-2, stop=None) if len(vocabulary) else vocabulary
-    each = [hashes(vocabulary), hashes(shape) ^ np.uint64(0x9E3779B97F4A7C15), hashes(ending) ^ np.uint64(0xC2B2AE3D27D4EB4F)]
+    """Text, bucket and share of the text's words, for every hashed feature; the last bucket is for echoes."""
     texts = len(words.bounds) - 1
     owner = np.repeat(np.arange(texts), words.counts)
-    keys = np.concatenate([owner * buckets + ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)[words.codes] for h in each])
+    keys = np.concatenate([owner * (buckets + 1) + b[words.codes] for b in buckets_of(words, buckets)])
     keys, times = np.unique(keys, return_counts=True)
-    text, bucket, weight = keys // buckets, keys % buckets, times.astype(float)
-    norm = np.sqrt(np.bincount(text, weights=weight**2, minlength=texts))
-    return text, bucket, weight / norm[text]
+    echo = echoes(words, owner)
+    some = np.flatnonzero(echo)
+    text = np.concatenate((keys // (buckets + 1), some))
+    order = np.argsort(text, kind="stable")
+    bucket, weight = np.concatenate((keys % (buckets + 1), np.full(len(some), buckets))), np.concatenate((times, echo[some]))
+    return text[order], bucket[order], weight[order] / words.counts[text[order]]
 
 
 def train(text: np.ndarray, bucket: np.ndarray, weight: np.ndarray, target: np.ndarray, s: Settings) -> np.ndarray:
-    """Logistic regression by full gradients with momentum; the last number is the bias. Both classes weigh the same."""
-    w = np.zeros(s.buckets + 1)
+    """Logistic regression by full gradients, each coordinate at its own rate; the last number is the bias. Both classes weigh the same."""
+    w = np.zeros(s.buckets + 2)
     if not len(target):
         return w
-    push = np.zeros_like(w)
+    squares = np.full_like(w, 1e-12)
     scale = np.where(target >= 0.5, 0.5 / max((target >= 0.5).sum(), 1), 0.5 / max((target < 0.5).sum(), 1))
     scale = scale / scale.sum()
     for _ in range(s.steps):
         z = np.bincount(text, weights=w[bucket] * weight, minlength=len(target)) + w[-1]
-        error = (1 / (1 + np.exp(-z)) - target) * scale
-        gradient = np.append(np.bincount(bucket, weights=error[text] * weight, minlength=s.buckets), error.sum())
-        push = 0.9 * push - s.rate * (gradient + s.decay * w)
-        w = w + push
+        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - target) * scale
+        gradient = np.append(np.bincount(bucket, weights=error[text] * weight, minlength=s.buckets + 1), error.sum()) + s.decay * w
+        squares += gradient**2
+        w = w - s.rate * gradient / np.sqrt(squares)
     return w
 
 
@@ -179,7 +209,7 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
                 order = np.bincount(text, minlength=part.num_rows)
                 bounds = pa.array(np.concatenate(([0], np.cumsum(order))).astype(np.int32))
                 target = shared.value[pattern(votes(part.column("text"), w))]
-                yield pa.record_batch([pa.array(target), pa.ListArray.from_arrays(bounds, pa.array(bucket.astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(weight.astype(np.float32)))], names=["target", "bucket", "weight"])
+                yield pa.record_batch([part.column("h"), pa.array(target), pa.ListArray.from_arrays(bounds, pa.array(bucket.astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(weight.astype(np.float32)))], names=["h", "target", "bucket", "weight"])
 
     def learn(table: pa.Table) -> pa.Table:
         lists = [table.column(c).combine_chunks() for c in ("bucket", "weight")]
@@ -188,33 +218,37 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
         w = train(text, lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy().astype(float), table.column("target").to_numpy(), s)
         return pa.table({"weights": pa.array([np.round(w, 9).tolist()])})
 
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_rows)
-    largest = chosen.agg(F.max(F.xxhash64("doc_id"))).first()[0]
-    sample = rows.filter(F.xxhash64("doc_id") <= F.lit(largest if largest is not None else 0)).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(s.sample_rows)
-    learnt = sample.mapInArrow(sampled, "target double, bucket array<int>, weight array<float>").groupBy().applyInArrow(learn, "weights array<double>").collect() if largest is not None else []
-    weights = np.array(learnt[0][0]) if learnt else np.zeros(s.buckets + 1)
+    key = F.xxhash64("doc_id")
+    largest = rows.select(key.alias("h")).orderBy("h").limit(s.sample_rows).agg(F.max("h")).first()[0]
+    near = rows.select(key.alias("h"), "text").filter(F.col("h") <= F.lit(largest if largest is not None else 0))
+    sample = near.mapInArrow(sampled, "h long, target double, bucket array<int>, weight array<float>").orderBy("h", "target", F.hash("bucket")).limit(s.sample_rows)
+    learnt = sample.groupBy().applyInArrow(learn, "weights array<double>").collect() if largest is not None else []
+    weights = np.array(learnt[0][0]) if learnt else np.zeros(s.buckets + 2)
     return Model(posterior, weights, accuracies(table), float(prior[0]))
 
 
-def score(column: pa.Array, model: Model, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """The posterior of the heuristics and the scorer's probability of good."""
+def score(column: pa.Array, model: Model, s: Settings) -> np.ndarray:
+    """The scorer's probability of good: the mean weight of a text's features, added up by distinct word."""
     w = W.split(column)
-    text, bucket, weight = features(w, s.buckets)
-    z = np.bincount(text, weights=model.weights[bucket] * weight, minlength=len(column)) + model.weights[-1]
-    return model.posterior[pattern(votes(column, w))], np.round(1 / (1 + np.exp(-z)), 6)
+    n = len(w.bounds) - 1
+    owner = np.repeat(np.arange(n), w.counts)
+    each = sum(model.weights[b] for b in buckets_of(w, s.buckets))
+    total = np.bincount(owner, weights=each[w.codes], minlength=n) + model.weights[s.buckets] * echoes(w, owner)
+    z = total / np.maximum(w.counts, 1) + model.weights[-1]
+    return np.round(1 / (1 + np.exp(-np.clip(z, -500, 500))), 6)
 
 
 def classify(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, posterior, score and kept of each row."""
+    """doc_id, score and kept of each row."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
-                posterior, p = score(part.column("text"), model.value, s)
-                yield pa.record_batch([part.column("doc_id"), pa.array(np.round(posterior, 6)), pa.array(p), pa.array(p >= s.threshold)], names=["doc_id", "posterior", "score", "kept"])
+                p = score(part.column("text"), model.value, s)
+                yield pa.record_batch([part.column("doc_id"), pa.array(p), pa.array(p >= s.threshold)], names=["doc_id", "score", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, posterior double, score double, kept boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, kept boolean")
 
 
 def keep(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -224,7 +258,7 @@ def keep(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
-                yield part.filter(pa.array(score(part.column("text"), model.value, s)[1] >= s.threshold))
+                yield part.filter(pa.array(score(part.column("text"), model.value, s) >= s.threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
