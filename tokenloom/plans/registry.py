@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from tokenloom.plans.oracles import oracles
+from tokenloom.plans.queries import QUERIES
 
-
-def oracles() -> dict[str, str]:
-    return {}
+__all__ = ["QUERIES", "oracles"]
