@@ -42,8 +42,11 @@ class Words:
 
 
 def nonnull(column: pa.Array) -> pa.Array:
+    """A copy with texts for nulls; some Arrow kernels, ascii_lower for one, misread slices."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if column.offset:
+        column = column.take(pa.array(np.arange(len(column))))
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
