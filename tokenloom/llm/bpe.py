@@ -73,44 +73,46 @@ class Chunks:
                 have[p] = array("I", ids).tobytes()
         return have
 
-    def plain(self, words: pa.Array) -> list[bytes]:
-        """Ids of words of plain letters, or of plain punctuation."""
+    def plain(self, words: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+        """Words of plain letters, or plain punctuation: the place of each among the distinct ones, and their ids."""
         coded = pc.utf8_lower(words).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        keys = [w if w.isascii() else spelled(w) for w in distinct]
+        keys = [w if w.isascii() else spelled(w) for w in coded.dictionary.to_pylist()]
         have = self.packed([k for k in keys if k])
-        each = [have[k] if k else b"" for k in keys]
-        return [each[i] for i in coded.indices.to_pylist()]
+        return coded.indices.to_numpy(), [have[k] if k else b"" for k in keys]
 
-    def of(self, vocabulary: pa.Array) -> list[bytes]:
-        """Ids of each chunk as little-endian unsigned 32-bit integers."""
-        found = pc.extract_regex(vocabulary, PLAIN)
-        simple = found.is_valid().to_numpy(zero_copy_only=False)
-        out: list[bytes] = [b""] * len(vocabulary)
-        for i, word, tail in zip(np.flatnonzero(simple).tolist(), *(self.plain(pc.struct_field(found, k).filter(pa.array(simple))) for k in ("word", "tail")), strict=True):
-            out[i] = word + tail
-        rest = np.flatnonzero(~simple).tolist()
+    def rest(self, chunks: list[str]) -> list[bytes]:
         known = self.chunks
-        texts = vocabulary.filter(pa.array(~simple)).to_pylist()
-        new = [c for c in texts if c not in known]
+        new = [c for c in chunks if c not in known]
         if new:
             if len(known) + len(new) > CACHE_ENTRIES:
                 known.clear()
-                new = list(dict.fromkeys(texts))
+                new = list(dict.fromkeys(chunks))
             cuts = [self.cut(c) for c in new]
             have = self.packed(list(dict.fromkeys(p for c in cuts for p in c if type(p) is str)))
             for c, parts in zip(new, cuts, strict=True):
                 known[c] = b"".join([have[p] if type(p) is str else p.to_bytes(4, "little") for p in parts])
-        for i, c in zip(rest, texts, strict=True):
-            out[i] = known[c]
-        return out
+        return [known[c] for c in chunks]
+
+    def of(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks in turn, and the number of ids of each."""
+        found = pc.extract_regex(vocabulary, PLAIN)
+        simple = found.is_valid().to_numpy(zero_copy_only=False)
+        (word, words), (tail, tails) = (self.plain(pc.struct_field(found, k).filter(pa.array(simple))) for k in ("word", "tail"))
+        others = self.rest(vocabulary.filter(pa.array(~simple)).to_pylist())
+        # each chunk is two spans of one pool; the second is empty for chunks that are not simple
+        parts = [*words, *tails, *others, b""]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+        pool, start = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
+        spans = np.full((len(vocabulary), 2), len(parts) - 1, np.int64)
+        spans[simple, 0], spans[simple, 1] = word, len(words) + tail
+        spans[~simple, 0] = len(words) + len(tails) + np.arange(len(others))
+        flat = spans.ravel()
+        return pool[W.spans(start[flat], size[flat])], size[spans].sum(axis=1)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bounds and ids (uint32) of the texts of a column; a null text is empty."""
         w = W.split(column)
-        each = self.of(w.vocabulary)
-        pool = np.frombuffer(b"".join(each), "<u4")
-        sizes = np.fromiter(map(len, each), np.int64, len(each)) >> 2
+        pool, sizes = self.of(w.vocabulary)
         starts = np.cumsum(sizes) - sizes
         lengths = sizes[w.codes]
         ids = pool[W.spans(starts[w.codes], lengths)]
