@@ -30,6 +30,7 @@ from tokenloom.llm import words as W
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+SLICE_BYTES = 3 << 20
 COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double"
 
 
@@ -123,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndar
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(s.buckets, np.int64), np.zeros(s.buckets, np.int64)
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", SLICE_BYTES):
                 bucket, text = ngrams(W.split(part.column("text")), s.buckets)
                 raw += np.bincount(bucket, minlength=s.buckets)
                 known = np.isin(pc.fill_null(part.column("doc_id"), -(1 << 62)).to_numpy(), trusted)
@@ -160,7 +161,7 @@ def verdicts(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", SLICE_BYTES):
                 yield pa.record_batch([part.column("doc_id"), *map(pa.array, judge(part.column("text"), model.value, s))], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, COLUMNS)
@@ -172,7 +173,7 @@ def keep(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", SLICE_BYTES):
                 yield part.filter(pa.array(judge(part.column("text"), model.value, s)[6]))
 
     return docs.mapInArrow(run, docs.schema)

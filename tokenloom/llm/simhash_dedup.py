@@ -39,6 +39,8 @@ SHINGLE, SEED, BITS, MATCHES = 3, 42, 2, 6
 #: Positions that a posting leaves out.
 LEFT_OUT = [(0, 1, 2), (0, 3, 4), (0, 5, 6), (0, 1, 7), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5), (2, 3, 7), (4, 5, 7), (3, 6, 7)]
 PAIRED = 48
+#: Bytes of text at a time; a shingle takes some hundred bytes while it is hashed.
+SLICE_BYTES = 2 << 20
 _SPREAD = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], np.uint64)
 
 
@@ -95,7 +97,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", SLICE_BYTES):
                 yield pa.record_batch([part.column("doc_id"), part.column("text_key"), pa.array(fingerprints(part.column("text")).view(np.int64))], names=["doc_id", "text_key", "fp"])
 
     text = F.col("text").cast("string")
