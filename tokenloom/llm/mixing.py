@@ -21,9 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.llm import scratch
+
 PART = 32.0
 #: P(count > STEPS) for a mean of PART is below 1e-25.
 STEPS = 128
+#: Sources up to which their table (about 1 KB each) is broadcast, and salts beyond.
+MOST_SOURCES, SALTS = 10_000, 64
 
 
 def uniform(*parts: Column) -> Column:
@@ -59,7 +63,13 @@ def replicate(docs: DataFrame, seed: int = 7, weights: dict[str, float] | None =
               copy: str = "copy", order: str = "order_key") -> DataFrame:
     """``docs`` exploded by their counts and shuffled, with the copy's number from 1 and its place in the order."""
     shape = tables(rates(docs.select("source"), weights, total, exponent)).select(F.col("source").alias("_source"), "parts", "cdf")
-    drawn = docs.join(shape, docs["source"].eqNullSafe(shape["_source"]))
+    shape = scratch.materialise(shape, "rates")
+    if shape.count() <= MOST_SOURCES:
+        drawn = docs.join(F.broadcast(shape), docs["source"].eqNullSafe(shape["_source"]))
+    else:  # too many to send everywhere: join by source, each source's rows dealt over salts
+        salted = shape.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")
+        drawn = docs.join(salted, docs["source"].eqNullSafe(salted["_source"]) & (salt == salted["_salt"]))
     digest = F.md5(F.coalesce(docs["text"].cast("string"), F.lit("~")).cast("binary"))
     name = [F.lit(str(seed)), docs["doc_id"], digest]
     draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda i: uniform(*name, i))
