@@ -169,11 +169,12 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     found = scratch.materialise(verdicts(docs).filter("NOT kept OR repeats > 1"), "exact_copies")
-    lost = found.filter("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
-    left = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
+    own_id, own_sha, own_text = scratch.unused(docs, "_id", "_sha", "_text")
+    lost = found.filter("NOT kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    left = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.sha2(text.cast("binary"), 256) == F.col(own_sha)), "left_anti")
     again = found.filter("kept AND repeats > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id", "text"]) if again else left
+    return left.withColumn(own_text, text).dropDuplicates(["doc_id", own_text]).drop(own_text) if again else left
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores added until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def filesystem(spark: SparkSession, path: str):
     """The Hadoop file system of ``path`` and the path itself, as JVM objects."""
     jvm = spark.sparkContext._jvm
