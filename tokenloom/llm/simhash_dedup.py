@@ -203,8 +203,9 @@ def keep(docs: DataFrame) -> DataFrame:
     twice = scratch.materialise(first.filter("n > 1"), "repeated")
     lost = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_key")
     lost = lost.unionByName(named.join(twice.select("doc_id", "component_id", "first_key"), ["doc_id", "component_id"]).filter("text_key > first_key").select("doc_id", "text_key"))
-    lost = lost.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    left = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key")), "left_anti")
+    own_id, own_key = scratch.unused(docs, "_id", "_key")
+    lost = lost.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
+    left = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(own_key)), "left_anti")
     return left.dropDuplicates(["doc_id", "text"]) if twice.limit(1).count() else left
 
 
