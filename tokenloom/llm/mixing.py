@@ -13,7 +13,8 @@ repeated). A mean above ``PART`` is drawn as a sum of equal parts, which is
 Poisson again and keeps exp(-mean) in range. A null source is a source of its
 own; a null text or id hashes as its own marker. Repeated rows have the same
 hash and so the same count. An empty table gives an empty result. All columns
-pass through; those added carry the names given.
+pass through; those added carry the names given and replace columns that have
+these names already.
 """
 
 from __future__ import annotations
@@ -62,28 +63,31 @@ def tables(rate: DataFrame) -> DataFrame:
 def replicate(docs: DataFrame, seed: int = 7, weights: dict[str, float] | None = None, total: float | None = None, exponent: float = 0.5,
               copy: str = "copy", order: str = "order_key") -> DataFrame:
     """``docs`` exploded by their counts and shuffled, with the copy's number from 1 and its place in the order."""
-    shape = tables(rates(docs.select("source"), weights, total, exponent)).select(F.col("source").alias("_source"), "parts", "cdf")
+    source, parts, cdf, salt, n_copies, number = scratch.unused(docs, "_source", "_parts", "_cdf", "_salt", "_count", "_number")
+    shape = tables(rates(docs.select("source"), weights, total, exponent)).select(F.col("source").alias(source), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
     shape = scratch.materialise(shape, "rates")
     if shape.count() <= MOST_SOURCES:
-        drawn = docs.join(F.broadcast(shape), docs["source"].eqNullSafe(shape["_source"]))
+        drawn = docs.join(F.broadcast(shape), docs["source"].eqNullSafe(shape[source]))
     else:  # too many to send everywhere: join by source, each source's rows dealt over salts
-        salted = shape.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")
-        drawn = docs.join(salted, docs["source"].eqNullSafe(salted["_source"]) & (salt == salted["_salt"]))
+        salted = shape.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")
+        drawn = docs.join(salted, docs["source"].eqNullSafe(salted[source]) & (own == salted[salt]))
     digest = F.md5(F.coalesce(docs["text"].cast("string"), F.lit("~")).cast("binary"))
     name = [F.lit(str(seed)), docs["doc_id"], digest]
-    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda i: uniform(*name, i))
-    count = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter("cdf", lambda c: c <= u)))
-    kept = drawn.withColumn("_count", count).filter("_count > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_count"))))
-    key = uniform(F.lit("order"), *name, F.col(copy))
-    out = kept.select(*[docs[c] for c in docs.columns], F.col(copy).cast("long").alias(copy), key.alias(order))
+    draws = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda i: uniform(*name, i))
+    count = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(cdf, lambda c: c <= u)))
+    kept = drawn.withColumn(n_copies, count).filter(F.col(n_copies) > 0).withColumn(number, F.explode(F.sequence(F.lit(1), F.col(n_copies))))
+    key = uniform(F.lit("order"), *name, F.col(number))
+    others = [docs[c] for c in docs.columns if c.lower() not in (copy.lower(), order.lower())]
+    out = kept.select(*others, F.col(number).cast("long").alias(copy), key.alias(order))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return out.repartition(n, order).sortWithinPartitions(order, copy)
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus in its new order, with the columns of ``docs``."""
-    return replicate(docs, copy="_copy", order="_order", **settings).drop("_copy", "_order")
+    copy, order = scratch.unused(docs, "_copy", "_order")
+    return replicate(docs, copy=copy, order=order, **settings).drop(copy, order)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
