@@ -7,7 +7,8 @@ that test runs on all pairs of a batch at once, down the merge trees. Pieces
 with a failing pair go through exact merging.
 
 A null text counts as empty, an empty text has no ids, repeated rows are
-encoded alike, and columns other than ``text`` pass through untouched.
+encoded alike, and columns other than ``text`` pass through untouched; a column
+that has the name of the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -197,15 +198,14 @@ def _source(spark: SparkSession, path: str | None):
 
 
 def _appended(df: DataFrame, name: str, kind: str, function) -> DataFrame:
-    """``df`` with a column that ``function`` makes from each batch."""
-    if name in df.columns:
-        raise ValueError(f"there is a column {name} already")
-    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(f"{name} {kind}").fields])
+    """``df`` with a column that ``function`` makes from each batch, in place of any of that name."""
+    others = [i for i, c in enumerate(df.columns) if c.lower() != name.lower()]
+    schema = T.StructType([*[df.schema.fields[i] for i in others], *T._parse_datatype_string(f"{name} {kind}").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, extra in function(batch):
-                yield pa.record_batch([*part.columns, extra], names=[*batch.schema.names, name])
+                yield pa.record_batch([*[part.column(i) for i in others], extra], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
