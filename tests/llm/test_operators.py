@@ -162,6 +162,31 @@ def test_exact_dedup(spark, odd, empty):
     assert exact_dedup.verdicts(empty).count() == 0 and exact_dedup.keep(empty).count() == 0
 
 
+def test_columns_with_names_that_operators_use(spark):
+    names = ["_id", "_sha", "_key", "_text", "_source", "_parts", "_cdf", "_salt", "_count", "_number", "_copy", "_order", "parts", "cdf", "w", "n", "copy", "ORDER_KEY", "ids", "digest", "fp", "text_key", "component_id", "llr", "h"]
+    rows = [(i, f"a b c {i % 3}", "s") for i in range(8)] + [(9, None, "s"), (9, "", "s")]
+    df = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    plain, labels = df.select("doc_id", "text", "source"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for keep in (exact_dedup.keep, simhash_dedup.keep, mixing.mix, weak_labels.keep, lambda d: quality_rules.keep(d, labels)):
+        got = keep(df)
+        assert got.columns == df.columns
+        assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, keep(plain).collect()))
+        assert all(r._id == "_id" and r.cdf == "cdf" and r.ORDER_KEY == "ORDER_KEY" for r in got.collect())
+    assert exact_dedup.keep(df).filter("doc_id = 9").count() == 1  # null counts as empty
+    got = mixing.replicate(df)
+    assert [c for c in got.columns if c.lower() in ("copy", "order_key")] == ["copy", "order_key"]
+    assert {(r.doc_id, r.copy, r.order_key) for r in got.collect()} == {(r.doc_id, r.copy, r.order_key) for r in mixing.replicate(plain).collect()}
+    assert sorted(r.ids for r in bpe_codec.encode(df).collect()) == sorted(r.ids for r in bpe_codec.encode(plain).collect())
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    """The join over salts gives what the broadcast gives."""
+    df = spark.createDataFrame([(i, f"t{i}", [None, "a", "b"][i % 3]) for i in range(300)], "doc_id long, text string, source string")
+    want = {tuple(r) for r in mixing.replicate(df).collect()}
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 0)
+    assert {tuple(r) for r in mixing.replicate(df).collect()} == want
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(2)
     digests = rng.integers(0, 1 << 63, (5000, 4)).astype(np.uint64)
