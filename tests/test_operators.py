@@ -14,6 +14,7 @@ from tokenloom.operators import encode as E
 from tokenloom.operators import subwords
 from tokenloom.plans import derived
 from tokenloom.sources.lines import normalize_file
+from tokenloom.sources.tables import spread
 from tokenloom.sources.vocab import Encoding, load_encoding, parse
 
 WORDS = ["th", "he", "in", "er", "an", "lo", "the", "hello", "an", "é"]
@@ -194,3 +195,12 @@ def test_sql_names_and_stream(spark, encoding, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert found == want
+
+
+def test_small_tables_are_dealt_out_and_large_ones_left(spark):
+    cores = spark.sparkContext.defaultParallelism
+    small, large = spark.range(10, numPartitions=1), spark.range(10, numPartitions=cores + 1)
+    assert spread(small).rdd.getNumPartitions() == cores
+    assert spread(large) is large
+    assert sorted(r.id for r in spread(small).collect()) == list(range(10))
+    assert spread(small.limit(0)).count() == 0

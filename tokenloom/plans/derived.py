@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.operators.stats import piece_counts
+from tokenloom.sources.tables import table
 from tokenloom.sources.vocab import Encoding
 
 # The special tokens, in the order of their ids.
@@ -27,13 +28,15 @@ def byte_encoding() -> Encoding:
 
 def derived_encoding(docs: DataFrame) -> Encoding:
     words = piece_counts(docs).filter(F.col("piece").rlike("^[A-Za-z]+$"))
-    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("piece") - 1, F.lit(1))), lambda i: F.substring("piece", i, F.lit(2)))).alias("piece"), "n")
+    # outer, so that nothing is inferred about single words and both halves share one count of the pieces
+    pairs = words.select(F.explode_outer(F.transform(F.sequence(F.lit(1), F.greatest(F.length("piece") - 1, F.lit(1))), lambda i: F.substring("piece", i, F.lit(2)))).alias("piece"), "n")
     pairs = pairs.filter(F.length("piece") == 2).groupBy("piece").agg(F.sum("n").alias("n"))
-    best = lambda df, k: [r[0] for r in df.orderBy(F.desc("n"), "piece").limit(k).collect()]  # noqa: E731  k rows at most
-    found = best(pairs, PAIRS)
-    tokens = base_tokens() + found + [""] * (PAIRS - len(found)) + best(words, WORDS)
+    best = lambda df, k, kind: df.orderBy(F.desc("n"), "piece").limit(k).select(F.lit(kind).alias("kind"), "n", "piece")
+    rows = sorted(best(pairs, PAIRS, 0).unionByName(best(words, WORDS, 1)).collect(), key=lambda r: (-r.n, r.piece))  # PAIRS + WORDS rows at most
+    found = [r.piece for r in rows if not r.kind]
+    tokens = base_tokens() + found + [""] * (PAIRS - len(found)) + [r.piece for r in rows if r.kind]
     return Encoding(tuple(tokens), {t: i for i, t in enumerate(SPECIALS)})
 
 
 def of(spark: SparkSession, sf_dir: str) -> Encoding:
-    return derived_encoding(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return derived_encoding(table(spark, sf_dir, "documents"))

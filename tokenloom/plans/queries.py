@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import hashing as H
@@ -13,10 +12,7 @@ from tokenloom.functions.decode import decode, token_bytes
 from tokenloom.operators import encode as E
 from tokenloom.operators import stats, subwords
 from tokenloom.plans import derived
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from tokenloom.sources.tables import table
 
 
 def _joined(tokens: str = "tokens"):
@@ -41,11 +37,11 @@ def vocab_table(spark, sf_dir):
 
 
 def pretokenize(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.pieces(F.col("text"))).alias("pos", "piece")).select("doc_id", F.col("pos").cast("long").alias("pos"), _hex(F.col("piece")).alias("hx"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.pieces(F.col("text"))).alias("pos", "piece")).select("doc_id", F.col("pos").cast("long").alias("pos"), _hex(F.col("piece")).alias("hx"))
 
 
 def piece_counts(spark, sf_dir):
-    return stats.piece_counts(_table(spark, sf_dir, "documents")).select(_hex(F.col("piece")).alias("hx"), "n")
+    return stats.piece_counts(table(spark, sf_dir, "documents")).select(_hex(F.col("piece")).alias("hx"), "n")
 
 
 def piece_top_k(spark, sf_dir):
@@ -54,45 +50,45 @@ def piece_top_k(spark, sf_dir):
 
 def whole_piece_lookup(spark, sf_dir):
     e = derived.of(spark, sf_dir)
-    counted = stats.piece_counts(_table(spark, sf_dir, "documents"))
+    counted = stats.piece_counts(table(spark, sf_dir, "documents"))
     vocab = F.broadcast(e.encoder_table(spark))
     return counted.join(vocab, X.piece_bytes(F.col("piece")) == F.col("bytes")).select(_hex(F.col("piece")).alias("hx"), F.col("id").cast("long").alias("id"), "n")
 
 
 def first_byte_merge(spark, sf_dir):
     e = derived.of(spark, sf_dir)
-    words = stats.piece_counts(_table(spark, sf_dir, "documents")).select(X.piece_bytes(F.col("piece")).alias("data")).filter("octet_length(data) BETWEEN 2 AND 64")
+    words = stats.piece_counts(table(spark, sf_dir, "documents")).select(X.piece_bytes(F.col("piece")).alias("data")).filter("octet_length(data) BETWEEN 2 AND 64")
     starts = M.first_byte_merge(F.col("data"), e)
     return words.select(F.hex("data").alias("hx"), F.array_join(F.transform(M.parts(F.col("data"), starts), F.hex), " ").alias("parts"))
 
 
 def encode_ordinary(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return E.encode_ordinary(docs, derived.of(spark, sf_dir), plan="columns", key="doc_id").select("doc_id", _joined())
 
 
 def encode_ordinary_rows(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return E.encode_ordinary(docs, derived.of(spark, sf_dir)).select("doc_id", _joined())
 
 
 def tokens_by_lang(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("lang", "text")
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
     return stats.tokens_by(E.encode_ordinary(docs, derived.of(spark, sf_dir)), "lang").select("lang", "docs", F.col("tokens").cast("long").alias("tokens"))
 
 
 def encode_special_chat(spark, sf_dir):
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("<"), "role", F.lit(">"), "text", F.lit("<eot>")).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("<"), "role", F.lit(">"), "text", F.lit("<eot>")).alias("text"))
     return E.encode(turns, derived.of(spark, sf_dir), "all").select("conv_id", "turn", _joined())
 
 
 def _benchmark_words(spark, sf_dir):
-    words = stats.piece_counts(_table(spark, sf_dir, "benchmark"))
+    words = stats.piece_counts(table(spark, sf_dir, "benchmark"))
     return words.select(X.piece_bytes(F.col("piece")).alias("data"))
 
 
 def encode_bytes(spark, sf_dir):
-    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("data"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("data"))
     return E.encode_bytes(rows, derived.of(spark, sf_dir)).select("item_id", _joined())
 
 
@@ -108,16 +104,16 @@ def encode_single_token(spark, sf_dir):
 
 def encode_unstable(spark, sf_dir):
     e = derived.of(spark, sf_dir)
-    rows = _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", "text")
     return E.encode_unstable(rows, e).select("item_id", F.size("unstable.tokens").cast("long").alias("n_tokens"), F.size("unstable.completions").cast("long").alias("n_completions"))
 
 
 def fallback_encode(spark, sf_dir):
-    return E.fallback_encode(_table(spark, sf_dir, "benchmark").select("item_id", "text"), derived.of(spark, sf_dir)).select("item_id", _joined())
+    return E.fallback_encode(table(spark, sf_dir, "benchmark").select("item_id", "text"), derived.of(spark, sf_dir)).select("item_id", _joined())
 
 
 def decode_roundtrip(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     return stats.round_trip(docs, derived.of(spark, sf_dir), "doc_id").select("doc_id", F.md5(F.encode("decoded", "UTF-8")).alias("decoded_md5"), "expected")
 
 
@@ -127,62 +123,62 @@ def decode_single_token(spark, sf_dir):
 
 
 def token_frequency_topk(spark, sf_dir):
-    coded = E.encode_ordinary(_table(spark, sf_dir, "documents").select("text"), derived.of(spark, sf_dir))
+    coded = E.encode_ordinary(table(spark, sf_dir, "documents").select("text"), derived.of(spark, sf_dir))
     return stats.top(stats.token_frequencies(coded), 10, "token_id").select(F.col("token_id").cast("long").alias("token_id"), "n")
 
 
 def compare_encodings(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     return stats.compare(docs, {"derived": derived.of(spark, sf_dir), "bytes": derived.byte_encoding()})
 
 
 def normalize_text(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(X.normalize_text(F.col("text")), "UTF-8")).alias("normalized_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(X.normalize_text(F.col("text")), "UTF-8")).alias("normalized_md5"))
 
 
 def normalize_stats(spark, sf_dir):
     s = X.marker_stats(X.normalize_text(F.col("text")))
-    return _table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.col("s.length").cast("long").alias("length"), F.col("s.markers").cast("long").alias("markers"), F.col("s.characters").cast("long").alias("characters"))
+    return table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.col("s.length").cast("long").alias("length"), F.col("s.markers").cast("long").alias("markers"), F.col("s.characters").cast("long").alias("characters"))
 
 
 def normalize_line(spark, sf_dir):
-    return _table(spark, sf_dir, "benchmark").select("item_id", F.hex(X.normalize_line(F.col("text"), 64)).alias("hx"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.hex(X.normalize_line(F.col("text"), 64)).alias("hx"))
 
 
 def _hash(function):
     def query(spark, sf_dir):
-        return _table(spark, sf_dir, "customer").select("c_custkey", function(F.encode("c_name", "UTF-8")).alias("h"))
+        return table(spark, sf_dir, "customer").select("c_custkey", function(F.encode("c_name", "UTF-8")).alias("h"))
 
     return query
 
 
 def _hash_pieces(function):
     def query(spark, sf_dir):
-        counted = stats.piece_counts(_table(spark, sf_dir, "documents"))
+        counted = stats.piece_counts(table(spark, sf_dir, "documents"))
         return counted.select(_hex(F.col("piece")).alias("hx"), function(X.piece_bytes(F.col("piece"))).alias("h"))
 
     return query
 
 
 def hash_int(spark, sf_dir):
-    return _table(spark, sf_dir, "customer").select("c_custkey", H.int_hash(F.col("c_custkey")).alias("h"))
+    return table(spark, sf_dir, "customer").select("c_custkey", H.int_hash(F.col("c_custkey")).alias("h"))
 
 
 def cache_hash_buckets(spark, sf_dir):
-    return _table(spark, sf_dir, "customer").groupBy(H.cache_hash(F.col("c_custkey"), 64).alias("bucket")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "customer").groupBy(H.cache_hash(F.col("c_custkey"), 64).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def heap_hash_buckets(spark, sf_dir):
-    return _table(spark, sf_dir, "part").groupBy(H.heap_hash(F.encode("p_name", "UTF-8"), 64).alias("bucket")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "part").groupBy(H.heap_hash(F.encode("p_name", "UTF-8"), 64).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def _trie(spark, sf_dir):
-    counted = stats.piece_counts(_table(spark, sf_dir, "benchmark")).filter(F.col("piece").rlike("^[A-Za-z]+$"))
+    counted = stats.piece_counts(table(spark, sf_dir, "benchmark")).filter(F.col("piece").rlike("^[A-Za-z]+$"))
     return subwords.insert(None, counted.select(F.col("piece").alias("token"), F.col("n").alias("freq")))
 
 
 def _asked(spark, sf_dir):
-    counted = stats.piece_counts(_table(spark, sf_dir, "documents")).filter(F.col("piece").rlike("^[A-Za-z]+$"))
+    counted = stats.piece_counts(table(spark, sf_dir, "documents")).filter(F.col("piece").rlike("^[A-Za-z]+$"))
     return counted.select(F.col("piece").alias("token"))
 
 
@@ -218,13 +214,13 @@ def sorted_tokens(spark, sf_dir):
 
 def prefix_search(spark, sf_dir):
     e = derived.of(spark, sf_dir)
-    asked = _table(spark, sf_dir, "benchmark").select("item_id", F.encode(F.substring("text", 1, 3), "UTF-8").alias("prefix"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.encode(F.substring("text", 1, 3), "UTF-8").alias("prefix"))
     return subwords.find_prefix(e.encoder_table(spark), asked).select("item_id", F.coalesce("place", F.lit(-1)).cast("long").alias("place"))
 
 
 def sql_functions(spark, sf_dir):
     S.register(spark)
-    _table(spark, sf_dir, "benchmark").createOrReplaceTempView("loom_benchmark")
+    table(spark, sf_dir, "benchmark").createOrReplaceTempView("loom_benchmark")
     return spark.sql("SELECT item_id, CAST(size(loom_pieces(text)) AS BIGINT) AS pieces, octet_length(loom_normalize(text)) + 0L AS normalized, loom_fnv1a(encode(text, 'UTF-8')) AS fnv1a FROM loom_benchmark")
 
 
