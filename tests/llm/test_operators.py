@@ -321,6 +321,56 @@ def test_chat_repair(spark):
     assert sorted(r.action for r in chat_format.repair(odd).collect()) == ["keep", "relabel", "relabel"]  # 2 + 2, a merge under another role would cost 3
 
 
+def chat_whole(roles):
+    """The choices of a repair in one piece, from the definition: ties by action, seen from the last turn."""
+    least = [{0: 0}]
+    for r in roles:
+        new = {}
+        for s, c in least[-1].items():
+            for w, t, *_ in chat_ways(s, r):
+                new[t] = min(new.get(t, 99999), c + w)
+        least.append(new)
+    state, out = min(least[-1], key=lambda t: (least[-1][t], t)), []
+    for r, before in zip(reversed(roles), reversed(least[:-1])):
+        found = [(before[s] + w, action, s, x) for s in before for w, t, action, x in chat_ways(s, r) if t == state]
+        _, action, s, x = min(found)
+        out.append((chat_format.ROLES[state], chat_format.ACTIONS[action], chat_format.ROLES[x] if x else None))
+        state = s
+    return out[::-1]
+
+
+def chat_ways(s, r):
+    for t in chat_format.NEXT[s]:
+        yield (0, t, 0, 0) if t == r else (2, t, 2, 0)
+        if r and r in chat_format.NEXT[t]:
+            yield 3, r, 3, t
+    if s:
+        yield 1 if s == r else 3, s, 1, 0
+
+
+@pytest.mark.parametrize(("parts", "piece_rows"), [(1, 10**6), (5, 10**6), (3, 7)])
+def test_chat_repair_does_not_depend_on_the_pieces(spark, parts, piece_rows):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    try:
+        rng = random.Random(8)
+        roles = {conv: [rng.choice((0, 1, 1, 2, 2, 3)) for _ in range(rng.choice((1, 2, 3, 30)) if conv else 300)] for conv in range(40)}
+        roles[40] = [1] * 100
+        rows = [(conv or None, n, chat_format.ROLES[r] if r else None, f"{n},") for conv, own in roles.items() for n, r in enumerate(own)]
+        got = sorted(chat_format.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), piece_rows).collect(), key=lambda r: r.seq)
+        assert [(r.conv_id or 0, r.turn) for r in got] == [(conv, n) for conv, own in roles.items() for n in range(len(own))]
+        for conv, own in roles.items():
+            mine = [r for r in got if (r.conv_id or 0) == conv]
+            want = chat_whole(own)
+            assert [(r.new_role, r.action, r.inserted) for r in mine] == want
+            assert sum(r.cost for r in mine) == chat_best(own)
+            text = "".join(("\n" if a == "merge" else "<|end|>\n" * (n > 0) + (f"<|{x}|>\n<|end|>\n" if x else "") + f"<|{s}|>\n") + f"{n}," for n, (s, a, x) in enumerate(want)) + "<|end|>\n"
+            assert "".join(r.rendered for r in mine) == text
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_license_scan(spark, odd, empty):
     df = spark.createDataFrame([
         (1, "intro\nReleased under the MIT License.\nend"), (2, "This work is licensed under the GNU General Public License, version 3.\nx"), (3, "no notice here"), (4, None),

@@ -10,11 +10,15 @@ with role headers; the fragments of a conversation, put together in the order
 of ``seq``, are its text.
 
 One conversation may hold a third of all rows. Rows are range-partitioned by
-conversation and turn, so it spreads over many partitions. Steps of the
-programme are (min, +) matrices over the four states and those compose: each
-partition sums up its piece of the conversations that cross its edges (two at
-most), the driver joins these few pieces, and each partition then decides its
-own rows between known states.
+conversation and turn, so it spreads over many partitions, and each partition
+is read once as a stream. A conversation that begins and ends within one is
+decided there. Others are cut into pieces, at the edges of partitions and after
+``PIECE_ROWS`` rows or ``PIECE_BYTES`` bytes: what the programme does in a piece
+depends only on the states before and after it, so each row gets its choice for
+all sixteen pairs of states, and each piece a (min, +) matrix of costs with the
+order of paths that cost the same. The driver joins the matrices, which are two
+a partition and one a piece of the long conversations, and a last pass picks
+each row's choice and renders it. Texts are shuffled once and written once.
 
 Null ``conv_id`` rows form one conversation. Turns are ordered by turn, role and
 text, nulls first; rows equal in all of these are interchangeable. A null text
@@ -24,200 +28,262 @@ gives an empty result. Further columns are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm import scratch
 
 ROLES = ("start", "system", "user", "assistant")
+ACTIONS = ("keep", "merge", "relabel", "insert")
+KEEP, MERGE, RELABEL, INSERT = range(4)  # also their costs
 #: Roles that may follow each state.
 NEXT = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
-MERGE, RELABEL, INSERT = 1, 2, 3
 FAR = 1 << 50
-Step = tuple[int, int, str, int]  # cost, state before, action, inserted role
+#: A conversation is cut after so many rows or bytes of text.
+PIECE_ROWS, PIECE_BYTES = 200_000, 32 << 20
+Way = tuple[int, int, int, int]  # cost, state before, the choice in a byte, place in the order of preference
+ROW = "shard int, place long, conv_id long, turn long, role string, code int, text string, piece int, first boolean, last boolean, choices binary, costs array<long>, ranks array<int>"
+
+
+def packed(state: int, action: int, inserted: int) -> int:
+    return state << 4 | action << 2 | inserted
 
 
 @lru_cache(maxsize=16)
-def steps(role: int) -> tuple[tuple[Step, ...], ...]:
+def ways(role: int) -> tuple[tuple[Way, ...], ...]:
     """For each state after a turn of this role (0: unknown), the ways to get there, best first on equal totals."""
-    out: list[list[Step]] = [[], [], [], []]
+    found: list[list] = [[], [], [], []]
     for s, after in NEXT.items():
         for t in after:
-            out[t].append((0, s, "keep", 0) if t == role else (RELABEL, s, "relabel", 0))
+            found[t].append((KEEP, s, 0, KEEP) if t == role else (RELABEL, s, 0, RELABEL))
+            if role and role in NEXT[t]:
+                found[role].append((INSERT, s, t, INSERT))
         if s:
-            out[s].append((MERGE + (RELABEL if s != role else 0), s, "merge", 0))
-        out_of = [(x, role) for x in after if role in NEXT[x]] if role else []
-        for x, t in out_of:
-            out[t].append((INSERT, s, "insert", x))
-    order = ["keep", "merge", "relabel", "insert"]
-    return tuple(tuple(sorted(ways, key=lambda w: (order.index(w[2]), w[1]))) for ways in out)
-
-
-def forward(costs: list[int], role: int) -> tuple[list[int], list[Step | None]]:
-    new, by = [FAR] * 4, [None] * 4
-    for t, ways in enumerate(steps(role)):
-        for way in ways:
-            if costs[way[1]] + way[0] < new[t]:
-                new[t], by[t] = costs[way[1]] + way[0], way
-    return new, by
-
-
-@lru_cache(maxsize=50_000)
-def matrix(roles: tuple[int, ...]) -> tuple[tuple[int, ...], ...]:
-    """Least costs from each state (row) to each state over these turns."""
-    rows = []
-    for s in range(4):
-        costs = [0 if t == s else FAR for t in range(4)]
-        for r in roles:
-            costs, _ = forward(costs, r)
-        rows.append(tuple(min(c, FAR) for c in costs))
-    return tuple(rows)
+            found[s].append((MERGE, s, 0, MERGE + RELABEL * (s != role)))
+    return tuple(tuple((cost, s, packed(t, action, x), n) for n, (action, s, x, cost) in enumerate(sorted(to))) for t, to in enumerate(found))
+
+
+@lru_cache(maxsize=1 << 14)
+def forward(costs: tuple[int, ...], role: int) -> tuple[tuple[int, ...], tuple[Way | None, ...], int]:
+    """The costs after a turn, less their least; the ways that give them; and that least."""
+    new, by = [], []
+    for to in ways(role):
+        best = min(to, key=lambda w: (costs[w[1]] + w[0], w[3]), default=None)
+        total = min(costs[best[1]] + best[0], FAR) if best else FAR
+        new.append(total)
+        by.append(best)
+    least = min(new)
+    return tuple(c if c == FAR else c - least for c in new), interned(tuple(by)), least
+
+
+@lru_cache(maxsize=1 << 12)
+def interned(by: tuple) -> tuple:
+    return by
+
+
+def forwards(codes: tuple[int, ...], entry: int) -> tuple[list[int], list[tuple]]:
+    """Least costs of the states after these turns, and the ways of each turn."""
+    costs, spent, trail = tuple(0 if t == entry else FAR for t in range(4)), 0, []
+    for code in codes:
+        costs, by, least = forward(costs, code)
+        spent += least
+        trail.append(by)
+    return [FAR if c >= FAR else c + spent for c in costs], trail
+
+
+def backwards(trail: list[tuple], state: int) -> tuple[bytes, bytes]:
+    """The choices, and their preference from the last turn on."""
+    choices, preference = bytearray(), bytearray()
+    for by in reversed(trail):
+        _, state, choice, place = by[state]
+        choices.append(choice)
+        preference.append(place)
+    return bytes(reversed(choices)), bytes(preference)
 
 
 def best_end(costs: list[int]) -> int:
     return min(range(4), key=lambda t: (costs[t], t))
 
 
-def decide(roles: tuple[int, ...], entry: int = 0, leave: int | None = None) -> list[tuple[int, str, int, int]]:
-    """(role, action, inserted role, cost) for each turn, between the given states."""
-    costs, trail = [0 if t == entry else FAR for t in range(4)], []
-    for r in roles:
-        costs, by = forward(costs, r)
-        trail.append(by)
-    state, out = best_end(costs) if leave is None else leave, []
-    for by in reversed(trail):
-        cost, before, action, inserted = by[state]
-        out.append((state, action, inserted, cost))
-        state = before
-    return out[::-1]
+def decide(codes: tuple[int, ...]) -> bytes:
+    """The choices of a whole conversation."""
+    costs, trail = forwards(codes, 0)
+    return backwards(trail, best_end(costs))[0]
 
 
 @lru_cache(maxsize=20_000)
-def decide_short(roles: tuple[int, ...], entry: int, leave: int | None) -> list[tuple[int, str, int, int]]:
+def decide_short(codes: tuple[int, ...]) -> bytes:
     """Most conversations are short and share their roles with others."""
-    return decide(roles, entry, leave)
-
-
-def render(text: str, choice: tuple[int, str, int, int], opens: bool, closes: bool) -> str:
+    return decide(codes)
+
+
+def summed_up(codes: tuple[int, ...]) -> tuple[np.ndarray, list[int], list[int]]:
+    """For all pairs of states before and after: each turn's choice, the cost, and the rank among equal costs."""
+    choices = np.zeros((len(codes), 16), np.uint8)
+    costs, ranks = [FAR] * 16, [0] * 16
+    preferences: dict[int, list] = defaultdict(list)
+    for entry in range(4):
+        ends, trail = forwards(codes, entry)
+        for leave in range(4):
+            if ends[leave] < FAR:
+                own, preference = backwards(trail, leave)
+                choices[:, 4 * entry + leave] = np.frombuffer(own, np.uint8)
+                costs[4 * entry + leave] = ends[leave]
+                preferences[leave].append((preference, entry))
+    for leave, found in preferences.items():
+        for rank, (_, entry) in enumerate(sorted(found)):
+            ranks[4 * entry + leave] = rank
+    return choices, costs, ranks
+
+
+def render(text: str, choice: int, opens: bool, closes: bool) -> str:
     """The fragment of a turn. A header closes the turn before; the last turn closes itself."""
-    role, action, inserted, _ = choice
-    if action == "merge":
+    state, action, inserted = choice >> 4, choice >> 2 & 3, choice & 3
+    if action == MERGE:
         head = "\n"
     else:
         head = "" if opens else "<|end|>\n"
         if inserted:
             head += f"<|{ROLES[inserted]}|>\n<|end|>\n"
-        head += f"<|{ROLES[role]}|>\n"
+        head += f"<|{ROLES[state]}|>\n"
     return head + text + ("<|end|>\n" if closes else "")
 
 
-def _runs(table: pa.Table) -> Iterator[tuple[int | None, int, int]]:
-    """conv_id, first and last + 1 row of each conversation in a sorted table."""
-    ids = table.column("conv_id").to_pylist()
-    first = 0
-    for i in range(1, len(ids) + 1):
-        if i == len(ids) or ids[i] != ids[first]:
-            yield ids[first], first, i
-            first = i
+def _starts(ids: pa.Array) -> np.ndarray:
+    """Rows whose conversation differs from the row before, the first one included."""
+    value, null = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), pc.is_null(ids).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (null[1:] != null[:-1]))))
 
 
-def laid_out(turns: DataFrame) -> DataFrame:
-    """The turns in order: shard and place number them throughout."""
+def chosen(turns: DataFrame, piece_rows: int) -> DataFrame:
+    """The turns in order, numbered by shard and place, with their choices (see ``ROW``)."""
+    names = [c.split()[0] for c in ROW.split(", ")]
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, place = TaskContext.get().partitionId(), 0
-        for b in batches:
-            yield pa.record_batch([pa.array(np.full(b.num_rows, shard, np.int32)), pa.array(place + np.arange(b.num_rows)), *b.columns], names=["shard", "place", *b.schema.names])
-            place += b.num_rows
+        shard, place, pieces = TaskContext.get().partitionId(), 0, 0
+        nothing = now = object()
+        held: list[pa.RecordBatch] = []  # rows of the conversation ``now`` that are not out yet
+        whole = False  # whether it began within this shard and was not cut
+
+        def rows(batch: pa.RecordBatch, piece: list[int | None], first, last, choices: list[bytes], costs: dict[int, tuple]) -> pa.RecordBatch:
+            nonlocal place
+            n = batch.num_rows
+            spare = [costs.get(i, (None, None)) for i in range(n)]
+            columns = [pa.array(np.full(n, shard, np.int32)), pa.array(place + np.arange(n)), *batch.columns, pa.array(piece, pa.int32()), pa.array(first), pa.array(last), pa.array(choices, pa.binary())]
+            place += n
+            return pa.record_batch([*columns, pa.array([c for c, _ in spare], pa.list_(pa.int64())), pa.array([r for _, r in spare], pa.list_(pa.int32()))], names=names)
+
+        def inner(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+            """Conversations that lie within the shard."""
+            codes, bounds, out = batch.column("code").to_pylist(), [*starts.tolist(), batch.num_rows], []
+            for i, j in zip(bounds, bounds[1:]):
+                own = (decide_short if j - i <= 32 else decide)(tuple(codes[i:j]))
+                out += [own[n : n + 1] for n in range(j - i)]
+            first, last = np.zeros((2, batch.num_rows), bool)
+            first[starts] = last[np.array(bounds[1:], np.int64) - 1] = True
+            return rows(batch, [None] * batch.num_rows, first, last, out, {})
+
+        def cut() -> pa.RecordBatch:
+            """A piece of a conversation that goes on beyond it or may do so."""
+            nonlocal pieces
+            batch = pa.concat_batches(held)
+            choices, costs, ranks = summed_up(tuple(batch.column("code").to_pylist()))
+            first, last = np.zeros((2, batch.num_rows), bool)
+            first[0] = last[-1] = True
+            pieces += 1
+            return rows(batch, [pieces - 1] * batch.num_rows, first, last, [c.tobytes() for c in choices], {0: (costs, ranks)})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = _starts(batch.column("conv_id"))
+            bounds, ids = [*starts.tolist(), batch.num_rows], batch.column("conv_id").take(pa.array(starts)).to_pylist()
+            k = 0
+            if ids[0] == now:
+                held.append(batch.slice(0, bounds[1]))
+                k = 1
+            if k < len(ids):  # the held conversation is over
+                if held:
+                    yield inner(pa.concat_batches(held), np.zeros(1, np.int64)) if whole else cut()
+                held, whole = [], now is not nothing
+                if not whole and len(ids) > 1:  # the first one may have begun in an earlier shard
+                    held = [batch.slice(0, bounds[1])]
+                    yield cut()
+                    held, whole, k = [], True, 1
+                begin, final = bounds[k], bounds[-2]
+                if final > begin:
+                    yield inner(batch.slice(begin, final - begin), starts[k:-1] - begin)
+                held = [batch.slice(final)]
+            now = ids[-1]
+            if sum(b.num_rows for b in held) >= piece_rows or sum(pc.sum(pc.binary_length(b.column("text"))).as_py() for b in held) >= PIECE_BYTES:
+                yield cut()
+                held, whole = [], False
+        if held:
+            yield cut()
 
     spark = turns.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     code = F.lower(F.trim("role"))
     code = sum((F.when(code == r, i).otherwise(0) for i, r in enumerate(ROLES) if i), F.lit(0))
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(code, F.lit(0)).cast("int").alias("code"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keys = ["conv_id", "turn", "role", F.xxhash64("text"), "text", F.rand(7)]
-    dealt = rows.repartitionByRange(n, *keys).sortWithinPartitions("conv_id", "turn", "role", F.xxhash64("text"), "text")
-    return scratch.materialise(dealt.mapInArrow(number, "shard int, place long, conv_id long, turn long, role string, code int, text string"), "turns")
-
-
-def edges(rows: DataFrame) -> dict:
-    """(shard, whether its first or its last conversation) -> entry and exit state, opens, closes.
-
-    Only the first and the last conversation of a shard can cross its edges, so
-    this is two pieces a shard at most.
-    """
-
-    def pieces(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        runs = list(_runs(table))
-        codes = table.column("code").to_numpy()
-        shard = table.column("shard")[0].as_py()
-        out = []
-        for k in dict.fromkeys((0, len(runs) - 1)):
-            conv, i, j = runs[k]
-            costs = np.array([[0 if s == t else FAR for t in range(4)] for s in range(4)], np.int64)
-            for at in range(i, j, 64):
-                step = np.array(matrix(tuple(codes[at : min(at + 64, j)].tolist())), np.int64)
-                costs = np.minimum((costs[:, :, None] + step[None]).min(axis=1), FAR)
-            out.append((shard, k, len(runs), conv, costs.ravel().tolist()))
-        names = ["shard", "run", "runs", "conv_id", "costs"]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, zip(*out), kinds)})
-
-    found = rows.select("shard", "place", "conv_id", "code").groupBy("shard").applyInArrow(pieces, "shard int, run int, runs int, conv_id long, costs array<long>").collect()
-    chains: list[list] = []
-    for p in sorted(found, key=lambda p: (p.shard, p.run)):
-        if p.run == 0 and chains and chains[-1][-1].conv_id == p.conv_id and chains[-1][-1].run == chains[-1][-1].runs - 1:
-            chains[-1].append(p)
-        else:
-            chains.append([p])
+    dealt = rows.repartitionByRange(n, "conv_id", "turn", "role", F.xxhash64("text"), F.rand(7)).sortWithinPartitions("conv_id", "turn", "role", F.xxhash64("text"), "text")
+    return scratch.materialise(dealt.mapInArrow(run, ROW), "turns")
+
+
+def joined(rows: DataFrame) -> dict:
+    """(shard, piece) -> the index of the states before and after it, whether it opens and closes its conversation."""
+    found = rows.filter("costs IS NOT NULL").select("shard", "piece", "conv_id", "costs", "ranks").collect()
+    chains = defaultdict(list)
+    for p in sorted(found, key=lambda p: (p.shard, p.piece)):
+        chains[p.conv_id].append(p)
     out = {}
-    for chain in chains:
-        costs, trail = [0, FAR, FAR, FAR], []
+    for chain in chains.values():
+        totals, trail = [0, FAR, FAR, FAR], []
         for p in chain:
-            m = np.array(p.costs).reshape(4, 4)
-            total = np.array(costs)[:, None] + m
-            trail.append(total.argmin(axis=0))
-            costs = total.min(axis=0).tolist()
-        state = best_end(costs)
+            pairs = [[(min(totals[s] + p.costs[4 * s + t], FAR), p.ranks[4 * s + t], s) for s in range(4)] for t in range(4)]
+            best = [min(to) for to in pairs]
+            totals = [total for total, _, _ in best]
+            trail.append([s for _, _, s in best])
+        state = best_end(totals)
         for k in range(len(chain) - 1, -1, -1):
-            before = int(trail[k][state])
-            out[chain[k].shard, chain[k].run] = (before, state, k == 0, k == len(chain) - 1)
+            before = trail[k][state]
+            out[chain[k].shard, chain[k].piece] = (4 * before + state, k == 0, k == len(chain) - 1)
             state = before
     return out
 
 
-def repair(turns: DataFrame) -> DataFrame:
+def repair(turns: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """conv_id, turn, role -> new_role, action, inserted, cost and the rendered fragment, for every row."""
-    rows = laid_out(turns)
-    known = turns.sparkSession.sparkContext.broadcast(edges(rows))
+    rows = chosen(turns, piece_rows)
+    known = turns.sparkSession.sparkContext.broadcast(joined(rows))
     schema = "seq long, conv_id long, turn long, role string, new_role string, action string, inserted string, cost int, rendered string"
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        codes, texts = table.column("code").to_pylist(), table.column("text").to_pylist()
-        shard = table.column("shard")[0].as_py()
-        choices, rendered = [], []
-        for k, (_, i, j) in enumerate(_runs(table)):
-            entry, leave, opens, closes = known.value.get((shard, k), (0, None, True, True))
-            own = (decide_short if j - i <= 32 else decide)(tuple(codes[i:j]), entry, leave)
-            choices += own
-            rendered += [render(texts[i + n], c, opens and n == 0, closes and n == j - i - 1) for n, c in enumerate(own)]
-        state, action, inserted, cost = zip(*choices)
-        return pa.table({
-            "seq": pa.array(table.column("place").to_numpy() + (shard << 40)), "conv_id": table.column("conv_id"), "turn": table.column("turn"), "role": table.column("role"),
-            "new_role": pa.array([ROLES[s] for s in state]), "action": pa.array(action), "inserted": pa.array([ROLES[s] if s else None for s in inserted], pa.string()),
-            "cost": pa.array(cost, pa.int32()), "rendered": pa.array(rendered),
-        })
-
-    return rows.groupBy("shard").applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shard, piece, first, last, choices, text = (b.column(c).to_pylist() for c in ("shard", "piece", "first", "last", "choices", "text"))
+            own, rendered = np.zeros(b.num_rows, np.uint8), []
+            for i, choice in enumerate(choices):
+                at, opens, closes = (0, True, True) if piece[i] is None else known.value[shard[i], piece[i]]
+                own[i] = choice[at]
+                rendered.append(render(text[i], choice[at], opens and first[i], closes and last[i]))
+            state, action, inserted = own >> 4, own >> 2 & 3, own & 3
+            cost = action + np.where((action == MERGE) & (state != b.column("code").to_numpy()), RELABEL, 0)
+            name = lambda names, at: pa.array(names, pa.string()).take(pa.array(at))
+            yield pa.record_batch([
+                pa.array((b.column("shard").to_numpy().astype(np.int64) << 40) + b.column("place").to_numpy()), b.column("conv_id"), b.column("turn"), b.column("role"),
+                name(ROLES, state), name(ACTIONS, action), name((None, *ROLES[1:]), inserted), pa.array(cost, pa.int32()), pa.array(rendered, pa.string()),
+            ], names=[c.split()[0] for c in schema.split(", ")])
+
+    return rows.select("shard", "place", "conv_id", "turn", "role", "code", "text", "piece", "first", "last", "choices").mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
