@@ -382,6 +382,18 @@ def test_license_scan(spark, odd, empty):
     assert license_scan.scan(odd).count() == len(ODD) and license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_gives_every_notice_of_a_line():
+    scanner, text = license_scan.Scanner(), dict(license_scan.TEMPLATES)
+    assert scanner.scan("Licensed under CC BY-NC 4.0. All rights reserved.")[1] == "CC-BY-NC-4.0,all-rights-reserved"
+    short = {}
+    for name, words in license_scan.TEMPLATES:
+        short.setdefault(name, words)
+    every = " ".join(short.values())
+    assert scanner.scan(every)[1] == ",".join(sorted(short))
+    assert scanner.scan(f"{text['MIT']} or {text['GPL-3.0']}")[1] == "GPL-3.0,MIT"
+    assert scanner.scan("Licensed under CC BY-SA 4.0.")[1] == "CC-BY-SA-4.0"  # and not CC-BY-4.0, whose words it has all
+
+
 def test_shard_store(spark, odd, empty):
     store = shard_store.Store(spark, scratch.fresh_path(spark, "store"), shard_store.Settings(target_bytes=1 << 20, base_bytes=1 << 10, fanout=3))
     for i in range(4):

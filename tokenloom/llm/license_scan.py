@@ -1,15 +1,14 @@
 """Operator 2: license scan by conditional compression.
 
 Candidate blocks are the lines with a license word, and for notices of several
-lines the text from there on, as long as the longest template. Each block is
-compressed alone and with every template as zstandard raw dictionary; the
-templates are ranked by the share of the block that their dictionary saves.
-The first few are then confirmed by wording: the words of template and block
-are aligned, and the template counts if at least ``agreement`` of its words
-appear in order with at most ``strange`` words between them.
+lines the text from there on, as long as the longest template. A template counts wherever at least ``agreement`` of its words appear in order
+with at most ``strange`` words between them. Every template is looked for at
+every place of a block, and of two matches that share words the better one
+stays. The lines of a match are compressed alone and with the template as
+zstandard raw dictionary; the saving is the share that the dictionary takes off.
 
 One row a document: how many blocks were looked at, the confirmed licenses, and
-for the best of them the saving and the words missing and added. A null or
+for the one of the highest saving the words missing and added. A null or
 empty text has no block. Repeated rows get a row each, an empty table gives an
 empty result, further columns are ignored.
 """
@@ -17,7 +16,7 @@ empty result, further columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -52,15 +51,16 @@ CACHE = 20_000
 
 
 class Scanner:
-    def __init__(self, agreement: float = 0.9, strange: int = 3, ranked: int = 3):
+    def __init__(self, agreement: float = 0.9, strange: int = 3):
         import zstandard
 
-        self.agreement, self.strange, self.ranked = agreement, strange, ranked
+        self.agreement, self.strange = agreement, strange
         self.alone = zstandard.ZstdCompressor(level=3)
         raw = zstandard.DICT_TYPE_RAWCONTENT
         self.given = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=raw)) for _, text in TEMPLATES]
         self.wording = [_WORD.findall(text.lower()) for _, text in TEMPLATES]
-        self.seen: OrderedDict[str, tuple | None] = OrderedDict()
+        self.counts = [Counter(words) for words in self.wording]
+        self.seen: OrderedDict[str, list[tuple]] = OrderedDict()
 
     def blocks(self, text: str) -> list[str]:
         """Every place with a license word: its line, or what is near it in a very long line, and the region from there on."""
@@ -76,42 +76,77 @@ class Scanner:
                 out.append(text[left : left + REGION])
         return out
 
-    def confirm(self, template: int, block: list[str]) -> tuple[list[str], list[str]] | None:
+    def confirm(self, template: int, block: list[str]) -> tuple[int, list[int], list[str], list[str]] | None:
+        """(score, places of the words in the block, missing, added) of the best run of matching parts, if it is enough."""
         want = self.wording[template]
-        match = SequenceMatcher(None, want, block, autojunk=False)
-        parts = [b for b in match.get_matching_blocks() if b.size]
-        if not parts or sum(b.size for b in parts) < self.agreement * len(want):
+        parts = [b for b in SequenceMatcher(None, want, block, autojunk=False).get_matching_blocks() if b.size]
+        best = None
+        for i in range(len(parts)):
+            size = 0
+            for j in range(i, len(parts)):
+                size += parts[j].size
+                added = parts[j].b + parts[j].size - parts[i].b - size
+                if size >= self.agreement * len(want) and added <= self.strange and (best is None or size - added > best[0]):
+                    best = (size - added, parts[i : j + 1])
+        if best is None:
             return None
-        inside = block[parts[0].b : parts[-1].b + parts[-1].size]
-        ours = {i for b in parts for i in range(b.b - parts[0].b, b.b - parts[0].b + b.size)}
-        theirs = {i for b in parts for i in range(b.a, b.a + b.size)}
-        added = [w for i, w in enumerate(inside) if i not in ours]
-        return ([w for i, w in enumerate(want) if i not in theirs], added) if len(added) <= self.strange else None
-
-    def judge(self, block: str) -> tuple | None:
-        """(saving, license, missing, added) of the confirmed template, if any."""
+        score, run = best
+        ours = [i for b in run for i in range(b.b, b.b + b.size)]
+        theirs = {i for b in run for i in range(b.a, b.a + b.size)}
+        inside = set(ours)
+        added = [block[i] for i in range(ours[0], ours[-1]) if i not in inside]
+        return score, ours, [w for i, w in enumerate(want) if i not in theirs], added
+
+    def find(self, template: int, words: list[str]) -> Iterator[tuple[int, list[int], list[str], list[str]]]:
+        """What ``confirm`` says, with places in ``words``, from every word on that has enough of the template near it."""
+        counts, span = self.counts[template], len(self.wording[template]) + self.strange
+        need = self.agreement * len(self.wording[template])
+        have: Counter[str] = Counter()
+        shared, head = 0, 0
+        for first, w in enumerate(words):
+            for new in words[head : first + span]:
+                if new in counts:
+                    have[new] += 1
+                    shared += have[new] <= counts[new]
+            head = max(head, min(first + span, len(words)))
+            if w in counts:
+                if shared >= need and (found := self.confirm(template, words[first : first + span])):
+                    yield found[0], [first + i for i in found[1]], *found[2:]
+                shared -= have[w] <= counts[w]
+                have[w] -= 1
+
+    def judge(self, block: str) -> list[tuple]:
+        """(saving, license, missing, added) of every confirmed notice; no two share a word."""
         if block in self.seen:
             self.seen.move_to_end(block)
             return self.seen[block]
-        plain = block.lower()
-        raw = plain.encode()
-        alone = len(self.alone.compress(raw))
-        savings = [1 - len(c.compress(raw)) / alone for c in self.given]
-        order = sorted(range(len(TEMPLATES)), key=lambda i: (-savings[i], i))[: self.ranked]
-        found, words = None, _WORD.findall(plain)
-        for i in order:
-            if savings[i] > 0 and (diff := self.confirm(i, words)):
-                rank = (len(self.wording[i]) - len(diff[0]) - len(diff[1]), savings[i])
-                if not found or rank > found[0]:
-                    found = (rank, (round(savings[i], 6), TEMPLATES[i][0], *map(" ".join, diff)))
-        self.seen[block] = found and found[1]
+        places = [m.span() for m in _WORD.finditer(block)]
+        words = [block[i:j].lower() for i, j in places]
+        total = Counter(words)
+        matches = []
+        for t, counts in enumerate(self.counts):
+            if sum(min(n, total[w]) for w, n in counts.items()) >= self.agreement * len(self.wording[t]):
+                matches += [(-score, ours[0], t, ours, missing, added) for score, ours, missing, added in self.find(t, words)]
+        hits, taken = [], set()
+        for _, _, t, ours, missing, added in sorted(matches):
+            if taken.isdisjoint(ours):
+                taken.update(ours)
+                hits.append((self.saving(t, block, places[ours[0]][0], places[ours[-1]][1]), TEMPLATES[t][0], " ".join(missing), " ".join(added)))
+        self.seen[block] = hits
         if len(self.seen) > CACHE:
             self.seen.popitem(last=False)
-        return self.seen[block]
+        return hits
+
+    def saving(self, template: int, block: str, start: int, end: int) -> float:
+        """The share that the template takes off the lines of a match, or off what is near it in a very long line."""
+        left = max(block.rfind("\n", 0, start) + 1, start - REGION)
+        right = block.find("\n", end)
+        raw = block[left : min(right if right >= 0 else len(block), end + REGION)].lower().encode()
+        return round(1 - len(self.given[template].compress(raw)) / len(self.alone.compress(raw)), 6)
 
     def scan(self, text: str) -> tuple:
         blocks = self.blocks(text)
-        hits = [h for h in map(self.judge, blocks) if h]
+        hits = [h for b in blocks for h in self.judge(b)]
         best = max(hits, key=lambda h: (h[0], h[1])) if hits else (None, None, None, None)
         return len(blocks), ",".join(sorted({h[1] for h in hits})), *best
 
