@@ -394,6 +394,18 @@ def test_license_scan_gives_every_notice_of_a_line():
     assert scanner.scan("Licensed under CC BY-SA 4.0.")[1] == "CC-BY-SA-4.0"  # and not CC-BY-4.0, whose words it has all
 
 
+def test_license_scan_finds_whole_notices_at_any_distance():
+    scanner = license_scan.Scanner()
+    for name, notice in license_scan.TEMPLATES:
+        for gap in range(0, 1300, 50):
+            prose = ("river stone " * 200)[:gap]
+            assert scanner.scan(f"Copyright 2020 Someone. {prose} {notice} {prose} license")[1] == name
+        for wrap in ("\n", "\n * ", "\n" + " " * 40):
+            assert scanner.scan(f"Copyright 2020 Someone.\n{wrap.join(['stone'] * 70 + notice.split())}\nend")[1] == name
+    text = "x " + "license of a driver, " * 5000 + license_scan.TEMPLATES[6][1] + " river" * 5000
+    assert [(n, found) for n, found, *_ in [scanner.scan(text)]] == [(1, "BSD")]
+
+
 def test_shard_store(spark, odd, empty):
     store = shard_store.Store(spark, scratch.fresh_path(spark, "store"), shard_store.Settings(target_bytes=1 << 20, base_bytes=1 << 10, fanout=3))
     for i in range(4):

@@ -1,7 +1,8 @@
 """Operator 2: license scan by conditional compression.
 
-Candidate blocks are the lines with a license word, and for notices of several
-lines the text from there on, as long as the longest template. A template counts wherever at least ``agreement`` of its words appear in order
+A block is the text as many words before and after a license word as the longest
+template has, with the strange words allowed in it; blocks that overlap are one.
+A template counts wherever at least ``agreement`` of its words appear in order
 with at most ``strange`` words between them. Every template is looked for at
 every place of a block, and of two matches that share words the better one
 stays. The lines of a match are compressed alone and with the template as
@@ -19,6 +20,7 @@ import re
 from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,9 +45,10 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("all-rights-reserved", "All rights reserved."),
 ]
-TRIGGER = r"(?i)licen[sc]|copyright|rights reserved|redistribut|permission (is hereby|to use)|free software"
+TRIGGER = r"(?i)licen[sc]|copyright|rights\W+reserved|redistribut|permission\W+(is\W+hereby|to\W+use)|free\W+software"
 _TRIGGER = re.compile(TRIGGER[4:], re.IGNORECASE)
 _WORD = re.compile(r"[\w.]*\w")
+#: Characters of a line at most that are compressed before and after a match.
 REGION = 600
 CACHE = 20_000
 
@@ -60,21 +63,38 @@ class Scanner:
         self.given = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=raw)) for _, text in TEMPLATES]
         self.wording = [_WORD.findall(text.lower()) for _, text in TEMPLATES]
         self.counts = [Counter(words) for words in self.wording]
+        #: Words from a license word to the end of its notice at most, and one that the edge may cut.
+        self.reach = max(map(len, self.wording)) + strange + 1
         self.seen: OrderedDict[str, list[tuple]] = OrderedDict()
 
+    def _left(self, text: str, at: int) -> int:
+        size = REGION
+        while at > size and sum(1 for _ in islice(_WORD.finditer(text, at - size, at), self.reach)) < self.reach:
+            size *= 2
+        return max(at - size, 0)
+
+    def _right(self, text: str, at: int) -> int:
+        last = None
+        for n, last in enumerate(islice(_WORD.finditer(text, at), self.reach), 1):
+            if n == self.reach:
+                return last.end()
+        return len(text)
+
     def blocks(self, text: str) -> list[str]:
-        """Every place with a license word: its line, or what is near it in a very long line, and the region from there on."""
-        out, done = [], -1
+        """The surroundings of every license word, in one where they overlap."""
+        spans: list[tuple[int, int]] = []
+        left = end = None
         for m in _TRIGGER.finditer(text):
-            if m.start() < done:
+            # the nearest are within reach without counting words
+            if end is not None and (m.start() <= end + self.reach or m.start() <= self._right(text, end)):
+                end = m.end()
                 continue
-            left = max(text.rfind("\n", 0, m.start()) + 1, m.start() - REGION)
-            right = text.find("\n", m.end())
-            done = min(right if right >= 0 else len(text), m.end() + REGION)
-            out.append(text[left:done])
-            if done < left + REGION < len(text) or right >= 0:
-                out.append(text[left : left + REGION])
-        return out
+            if end is not None:
+                spans.append((left, self._right(text, end)))
+            left, end = self._left(text, m.start()), m.end()
+        if end is not None:
+            spans.append((left, self._right(text, end)))
+        return [text[i:j] for i, j in spans]
 
     def confirm(self, template: int, block: list[str]) -> tuple[int, list[int], list[str], list[str]] | None:
         """(score, places of the words in the block, missing, added) of the best run of matching parts, if it is enough."""
