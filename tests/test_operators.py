@@ -12,7 +12,7 @@ from tokenloom.functions import text as X
 from tokenloom.functions.decode import decode, token_bytes
 from tokenloom.operators import encode as E
 from tokenloom.operators import subwords
-from tokenloom.plans import derived
+from tokenloom.plans import derived, queries
 from tokenloom.sources.lines import normalize_file
 from tokenloom.sources.tables import spread
 from tokenloom.sources.vocab import Encoding, load_encoding, parse
@@ -65,6 +65,16 @@ def test_column_merge(spark, encoding):
         assert s == merged(t.encode(), encoding)
 
 
+def test_merge_query_takes_pieces_of_any_length(spark, tmp_path):
+    words = ["the", "in", "thein" * 12 + "thei", "thein" * 13, "rlo" * 700, "7" * 65, " " * 66, "12" * 400]
+    spark.createDataFrame([(n, f"{w}.") for n, w in enumerate(words)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    e, want = derived.of(spark, str(tmp_path)), {}
+    for w in words:
+        starts = merged(w.encode(), e)
+        want[w.encode().hex().upper()] = " ".join(w[i:j].encode().hex().upper() for i, j in zip(starts, [*starts[1:], len(w)]))
+    assert {r.hx: r.parts for r in queries.first_byte_merge(spark, str(tmp_path)).collect()} == want
+
+
 def test_both_encoding_plans(spark, encoding):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "k int, text string")
     for plan in ("rows", "columns"):

@@ -57,8 +57,10 @@ def whole_piece_lookup(spark, sf_dir):
 
 def first_byte_merge(spark, sf_dir):
     e = derived.of(spark, sf_dir)
-    words = stats.piece_counts(table(spark, sf_dir, "documents")).select(X.piece_bytes(F.col("piece")).alias("data")).filter("octet_length(data) BETWEEN 2 AND 64")
-    starts = M.first_byte_merge(F.col("data"), e)
+    size = F.octet_length("data")
+    words = stats.piece_counts(table(spark, sf_dir, "documents")).select(X.piece_bytes(F.col("piece")).alias("data")).filter(size > 1)
+    words = words.withColumn("long", M.long_merge(e)(F.when(size > M.SHORT, F.col("data"))))
+    starts = F.when(size > M.SHORT, F.col("long")).otherwise(M.first_byte_merge(F.col("data"), e))
     return words.select(F.hex("data").alias("hx"), F.array_join(F.transform(M.parts(F.col("data"), starts), F.hex), " ").alias("parts"))
 
 
