@@ -243,6 +243,22 @@ def test_every_link_is_found(spark):
     assert {n: got.get(n, n) for n in want} == want
 
 
+def test_fingerprints_without_an_id_link_too(spark, monkeypatch):
+    """Near to an id, between two ids, alone together; and two texts of one id."""
+    rows = [(5, 0b0), (None, 0b11), (9, 0b1111 << 40), (None, 0b111111 << 40), (8, 0xFF << 40), (None, 0xFFFF << 20), (None, 0xFFFFF << 20 >> 2), (3, 0xABCDEF << 8), (3, 0x123456 << 30), (7, 0x123457 << 30)]
+    prints = sorted({p for _, p in rows})
+    links = [(a, b) for a, b in itertools.combinations(prints, 2) if (a ^ b).bit_count() <= 2] + [(0x123456 << 30, 0xABCDEF << 8)]
+    roots, names = reached([tuple(sorted(k)) for k in links], prints), {}
+    for i, p in rows:
+        if i is not None:
+            names[roots[p]] = min(i, names.get(roots[p], i))
+    df = spark.createDataFrame([(i, p, p) for i, p in rows], "doc_id long, text_key long, fp long")
+    monkeypatch.setattr(simhash_dedup, "signatures", lambda docs: docs)
+    got = {(r.doc_id, r.fp, r.component_id) for r in simhash_dedup.classes(df).collect()}
+    assert got == {(i, p, names.get(roots[p])) for i, p in rows}
+    assert {(None, 0b11, 5), (9, 0b1111 << 40, 8), (None, 0xFFFF << 20, None), (7, 0x123457 << 30, 3)} <= got
+
+
 def test_left_out_positions_cover_every_pair():
     assert {p for t in simhash_dedup.LEFT_OUT for p in itertools.combinations(t, 2)} == set(itertools.combinations(range(8), 2))
 

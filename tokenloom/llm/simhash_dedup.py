@@ -186,8 +186,14 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, fp and component_id of each row."""
     rows = scratch.materialise(signatures(docs), "fingerprints")
     nodes = scratch.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    found = components(links(nodes.filter("rep IS NOT NULL")))
-    named = nodes.join(found, nodes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # fingerprints are the nodes, as some have no id; those with one id belong together
+    first = nodes.filter("rep IS NOT NULL").groupBy("rep").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1")
+    same = nodes.join(scratch.materialise(first, "repeated_ids"), "rep").select(F.col("fp").alias("u"), "v").filter("u <> v")
+    found = components(links(nodes.select("fp", F.col("fp").alias("rep"))).unionByName(same))
+    linked = scratch.materialise(nodes.join(found, nodes.fp == found.node).select("fp", "rep", "component"), "linked")
+    names = scratch.materialise(linked.groupBy("component").agg(F.min("rep").alias("component_id")), "names")
+    alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("rep").alias("component_id"))
+    named = linked.join(names, "component").select("fp", "component_id").unionByName(alone)
     return rows.join(scratch.materialise(named, "classes"), "fp")
 
 
