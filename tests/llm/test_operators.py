@@ -439,6 +439,22 @@ def test_shard_store(spark, odd, empty):
         store._change(None, [], {"data/gone"})
 
 
+def test_shard_store_keeps_columns_of_later_arrivals(spark):
+    store = shard_store.Store(spark, scratch.fresh_path(spark, "store"), shard_store.Settings(fanout=2))
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    store.append(spark.createDataFrame([(2, "b", 7)], "doc_id long, text string, score int"))
+    store.append(spark.createDataFrame([(3, "en")], "doc_id long, lang string"))
+    want = {(1, "a", None, None), (2, "b", 7, None), (3, None, None, "en")}
+    assert store.read().columns == ["doc_id", "text", "score", "lang"] and {tuple(r) for r in store.read().collect()} == want
+    assert store.compact() >= 1
+    store.vacuum()
+    assert {tuple(r) for r in store.read().collect()} == want
+    version = store.version()
+    with pytest.raises(ValueError):
+        store.append(spark.createDataFrame([("4",)], "doc_id string"))
+    assert store.version() == version
+
+
 @pytest.mark.parametrize("name", ["op4_shard_store", "op8_exact_dedup", "op10_source_mixing"])
 def test_sql(spark, name):
     import __spark_entry__

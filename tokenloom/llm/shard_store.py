@@ -11,7 +11,9 @@ or given up if shards that it merged are gone. Files that no manifest names
 (lost tasks, given-up changes) are never read, and ``vacuum`` removes them.
 
 Rows, nulls, repeated rows and further columns are stored as they come; an
-empty arrival adds a version without shards.
+empty arrival adds a version without shards. The schema of a manifest has the
+columns of all arrivals, null in the rows of those without; an arrival with a
+column of another type than before is refused.
 """
 
 from __future__ import annotations
@@ -39,6 +41,22 @@ class Settings:
     fanout: int = 4
 
 
+def merge_schemas(old: str | None, new: str | None) -> str | None:
+    """The columns of ``old`` and those that only ``new`` has, as JSON."""
+    if not old or not new or old == new:
+        return old or new
+    fields = T.StructType.fromJson(json.loads(old)).fields
+    known = {f.name.lower(): f for f in fields}
+    added = []
+    for f in T.StructType.fromJson(json.loads(new)).fields:
+        had = known.get(f.name.lower())
+        if had is None:
+            added.append(f)
+        elif had.dataType.simpleString() != f.dataType.simpleString():
+            raise ValueError(f"column {f.name} is {had.dataType.simpleString()} in the store, and not {f.dataType.simpleString()}")
+    return T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in fields + added]).json() if added else old
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings()):
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings
@@ -89,7 +107,7 @@ class Store:
             if gone - {s["path"] for s in now["shards"]}:
                 raise Conflict("shards to be merged are gone")
             shards = [s for s in now["shards"] if s["path"] not in gone] + added
-            if self._commit({"version": now["version"] + 1, "schema": now["schema"] or schema, "shards": shards}):
+            if self._commit({"version": now["version"] + 1, "schema": merge_schemas(now["schema"], schema), "shards": shards}):
                 return now["version"] + 1
 
     def _write(self, df: DataFrame) -> list[dict]:
@@ -105,7 +123,9 @@ class Store:
         return self.spark.read.schema(shape).parquet(*[f"{self.root}/{p}" for p in paths])
 
     def append(self, df: DataFrame) -> int:
-        return self._change(df.schema.json(), self._write(df), set())
+        schema = df.schema.json()
+        merge_schemas(self.manifest()["schema"], schema)  # refuses before anything is written
+        return self._change(schema, self._write(df), set())
 
     def tier(self, size: int) -> int:
         s = self.settings
