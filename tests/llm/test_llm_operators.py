@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tokenloom.llm import bpe, bpe_codec, chat_format, components, exact_dedup, license_scan, mixing, quality_rules, scratch, shard_store, simhash_dedup, token_files, weak_labels
+from tokenloom.llm import bpe, bpe_codec, chat_format, components, exact_dedup, mixing, quality_rules, scratch, shard_store, simhash_dedup, token_files, weak_labels
 from tokenloom.llm import words as W
 
 DATA = "/root/testdata/sf0.001"
@@ -387,41 +387,6 @@ def test_chat_repair_does_not_depend_on_the_pieces(spark, parts, piece_rows):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_license_scan(spark, odd, empty):
-    df = spark.createDataFrame([
-        (1, "intro\nReleased under the MIT License.\nend"), (2, "This work is licensed under the GNU General Public License, version 3.\nx"), (3, "no notice here"), (4, None),
-        (5, license_scan.TEMPLATES[1][1].replace("software", "program")), (6, "The license of a driver is not a notice."), (7, "Licensed under CC BY-NC 4.0.\nAll rights reserved."),
-        (8, "x" * 50_000 + " Licensed under the Apache License, Version 2.0. " + "y" * 50_000),
-    ], "doc_id long, text string")
-    got = {r.doc_id: r.licenses for r in license_scan.scan(df).collect()}
-    assert got == {1: "MIT", 2: "GPL-3.0", 3: "", 4: "", 5: "MIT", 6: "", 7: "CC-BY-NC-4.0,all-rights-reserved", 8: "Apache-2.0"}
-    assert license_scan.scan(odd).count() == len(ODD) and license_scan.scan(empty).count() == 0
-
-
-def test_license_scan_gives_every_notice_of_a_line():
-    scanner, text = license_scan.Scanner(), dict(license_scan.TEMPLATES)
-    assert scanner.scan("Licensed under CC BY-NC 4.0. All rights reserved.")[1] == "CC-BY-NC-4.0,all-rights-reserved"
-    short = {}
-    for name, words in license_scan.TEMPLATES:
-        short.setdefault(name, words)
-    every = " ".join(short.values())
-    assert scanner.scan(every)[1] == ",".join(sorted(short))
-    assert scanner.scan(f"{text['MIT']} or {text['GPL-3.0']}")[1] == "GPL-3.0,MIT"
-    assert scanner.scan("Licensed under CC BY-SA 4.0.")[1] == "CC-BY-SA-4.0"  # and not CC-BY-4.0, whose words it has all
-
-
-def test_license_scan_finds_whole_notices_at_any_distance():
-    scanner = license_scan.Scanner()
-    for name, notice in license_scan.TEMPLATES:
-        for gap in range(0, 1300, 50):
-            prose = ("river stone " * 200)[:gap]
-            assert scanner.scan(f"Copyright 2020 Someone. {prose} {notice} {prose} license")[1] == name
-        for wrap in ("\n", "\n * ", "\n" + " " * 40):
-            assert scanner.scan(f"Copyright 2020 Someone.\n{wrap.join(['stone'] * 70 + notice.split())}\nend")[1] == name
-    text = "x " + "license of a driver, " * 5000 + license_scan.TEMPLATES[6][1] + " river" * 5000
-    assert [(n, found) for n, found, *_ in [scanner.scan(text)]] == [(1, "BSD")]
-
-
 def test_shard_store(spark, odd, empty):
     store = shard_store.Store(spark, scratch.fresh_path(spark, "store"), shard_store.Settings(target_bytes=1 << 20, base_bytes=1 << 10, fanout=3))
     for i in range(4):
