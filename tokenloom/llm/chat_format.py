@@ -9,25 +9,34 @@ wins, looked at from the last turn backwards. The repaired turns are rendered
 with role headers; the fragments of a conversation, put together in the order
 of ``seq``, are its text.
 
-One conversation may hold a third of all rows. Rows are range-partitioned by
-conversation and turn, so it spreads over many partitions, and each partition
-is read once as a stream. A conversation that begins and ends within one is
-decided there. Others are cut into pieces, at the edges of partitions and after
-``PIECE_ROWS`` rows or ``PIECE_BYTES`` bytes: what the programme does in a piece
-depends only on the states before and after it, so each row gets its choice for
-all sixteen pairs of states, and each piece a (min, +) matrix of costs with the
-order of paths that cost the same. The driver joins the matrices, which are two
-a partition and one a piece of the long conversations, and a last pass picks
-each row's choice and renders it. Texts are shuffled once and written once.
-
-Null ``conv_id`` rows form one conversation. Turns are ordered by turn, role and
-text, nulls first; rows equal in all of these are interchangeable. A null text
-is empty; a null or unknown role has to be relabelled or merged. An empty table
-gives an empty result. Further columns are ignored.
+One conversation may hold a third of all rows. A first pass range-partitions
+keys alone, without texts, by conversation and turn, so it spreads over many
+shards, and each shard is read once as a stream. A conversation that begins and
+ends within one needs nothing from outside. Others are cut into pieces, at the
+edges of shards and after ``PIECE_ROWS`` rows or ``PIECE_BYTES`` bytes of text: what
+the programme does in a piece depends only on the states before and after it,
+so each piece gives a (min, +) matrix of costs with the order of paths that cost
+the same. The driver joins the matrices and keeps the edges of the shards: two
+matrices (about 300 bytes) a shard and one a piece of the long conversations, so
+3 million of them if 100 TB were long conversations only. The second pass deals
+the rows over the same shards, the only shuffle of texts, and decides and renders
+them in the task that sorts them. No text is written in between.
+
+``seq`` numbers the rows from 0 in the order of conversation, turn, role, the
+text's ``xxhash64`` and the text, nulls first, whatever the number of partitions.
+Rows equal in all of these are interchangeable. If the edge of a shard falls
+among such rows, the rows are written to a table once, so that both passes split
+them alike; if the passes see other numbers of rows, the query fails.
+
+Null ``conv_id`` rows form one conversation. A null text is empty; a null or
+unknown role has to be relabelled or merged. A very long text is a piece alone.
+An empty table gives an empty result. Further columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,8 +44,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenloom.llm import scratch
 
@@ -49,7 +59,15 @@ FAR = 1 << 50
 #: A conversation is cut after so many rows or bytes of text.
 PIECE_ROWS, PIECE_BYTES = 200_000, 32 << 20
 Way = tuple[int, int, int, int]  # cost, state before, the choice in a byte, place in the order of preference
-ROW = "shard int, place long, conv_id long, turn long, role string, code int, text string, piece int, first boolean, last boolean, choices binary, costs array<long>, ranks array<int>"
+KEY = "conv_id long, turn long, role string, h long, salt double"
+ROW = f"{KEY}, code int, size long"
+#: A row for the first key of a shard (piece -1), its last (-2, with the number of rows), and each piece.
+FOUND = f"shard int, piece int, n long, {KEY}, costs array<long>, ranks array<int>"
+RESULT = "seq long, conv_id long, turn long, role string, new_role string, action string, inserted string, cost int, rendered string"
+
+
+def names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def packed(state: int, action: int, inserted: int) -> int:
@@ -124,23 +142,20 @@ def decide_short(codes: tuple[int, ...]) -> bytes:
     return decide(codes)
 
 
-def summed_up(codes: tuple[int, ...]) -> tuple[np.ndarray, list[int], list[int]]:
-    """For all pairs of states before and after: each turn's choice, the cost, and the rank among equal costs."""
-    choices = np.zeros((len(codes), 16), np.uint8)
+def matrix(codes: tuple[int, ...]) -> tuple[list[int], list[int]]:
+    """For all pairs of states before and after a piece: the cost, and the rank among equal costs."""
     costs, ranks = [FAR] * 16, [0] * 16
     preferences: dict[int, list] = defaultdict(list)
     for entry in range(4):
         ends, trail = forwards(codes, entry)
         for leave in range(4):
             if ends[leave] < FAR:
-                own, preference = backwards(trail, leave)
-                choices[:, 4 * entry + leave] = np.frombuffer(own, np.uint8)
                 costs[4 * entry + leave] = ends[leave]
-                preferences[leave].append((preference, entry))
+                preferences[leave].append((backwards(trail, leave)[1], entry))
     for leave, found in preferences.items():
         for rank, (_, entry) in enumerate(sorted(found)):
             ranks[4 * entry + leave] = rank
-    return choices, costs, ranks
+    return costs, ranks
 
 
 def render(text: str, choice: int, opens: bool, closes: bool) -> str:
@@ -162,89 +177,100 @@ def _starts(ids: pa.Array) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (null[1:] != null[:-1]))))
 
 
-def chosen(turns: DataFrame, piece_rows: int) -> DataFrame:
-    """The turns in order, numbered by shard and place, with their choices (see ``ROW``)."""
-    names = [c.split()[0] for c in ROW.split(", ")]
+def segments(batches: Iterator[pa.RecordBatch], piece_rows: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, int | None]]:
+    """A sorted shard as whole conversations with their first rows, and as numbered pieces of the others.
+
+    Where a conversation is cut depends on its rows alone, and not on the batches.
+    """
+    held: list[pa.RecordBatch] = []  # the rows of the conversation ``now`` that are not out yet
+    rows = size = piece = 0
+    nothing = now = object()
+    whole = False  # whether it began within this shard and was not cut
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = _starts(batch.column("conv_id"))
+        ids, bounds = batch.column("conv_id").take(pa.array(starts)).to_pylist(), np.append(starts, batch.num_rows)
+        total = np.concatenate(([0], np.cumsum(batch.column("size").to_numpy())))
+        small = (np.diff(bounds) < piece_rows) & (np.diff(total[bounds]) < PIECE_BYTES)
+        small[-1] = False  # it may go on
+        large = np.append(np.flatnonzero(~small), len(ids))
+        k = 0
+        while k < len(ids):
+            if ids[k] != now:
+                if held:
+                    yield pa.concat_batches(held), np.zeros(1, np.int64), None if whole else piece
+                    piece += not whole
+                held, rows, size, whole = [], 0, 0, now is not nothing
+                if whole and small[k]:
+                    m = int(large[np.searchsorted(large, k)])
+                    yield batch.slice(bounds[k], bounds[m] - bounds[k]), starts[k:m] - bounds[k], None
+                    k = m
+                now = ids[k]
+            at, end = int(bounds[k]), int(bounds[k + 1])
+            while at < end:
+                cut = min(at + piece_rows - rows - 1, int(np.searchsorted(total[1:], total[at] + PIECE_BYTES - size)))
+                to = min(cut + 1, end)
+                held.append(batch.slice(at, to - at))
+                rows, size, at = rows + to - at, size + int(total[to] - total[at]), to
+                if cut < to:
+                    yield pa.concat_batches(held), np.zeros(1, np.int64), piece
+                    piece += 1
+                    held, rows, size, whole = [], 0, 0, False
+            k += 1
+    if held:
+        yield pa.concat_batches(held), np.zeros(1, np.int64), piece
+
+
+def prepared(turns: DataFrame) -> DataFrame:
+    role = F.lower(F.trim(F.col("role").cast("string")))
+    code = sum((F.when(role == r, i).otherwise(0) for i, r in enumerate(ROLES) if i), F.lit(0))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return turns.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.xxhash64(text).alias("h"),
+        F.rand(7).alias("salt"), F.coalesce(code, F.lit(0)).cast("int").alias("code"), F.octet_length(text).cast("long").alias("size"), text.alias("text"),
+    )
+
+
+def survey(rows: DataFrame, piece_rows: int) -> list:
+    """Edges and pieces of range-partitioned keys (see ``FOUND``)."""
+    own = names(FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, place, pieces = TaskContext.get().partitionId(), 0, 0
-        nothing = now = object()
-        held: list[pa.RecordBatch] = []  # rows of the conversation ``now`` that are not out yet
-        whole = False  # whether it began within this shard and was not cut
-
-        def rows(batch: pa.RecordBatch, piece: list[int | None], first, last, choices: list[bytes], costs: dict[int, tuple]) -> pa.RecordBatch:
-            nonlocal place
-            n = batch.num_rows
-            spare = [costs.get(i, (None, None)) for i in range(n)]
-            columns = [pa.array(np.full(n, shard, np.int32)), pa.array(place + np.arange(n)), *batch.columns, pa.array(piece, pa.int32()), pa.array(first), pa.array(last), pa.array(choices, pa.binary())]
-            place += n
-            return pa.record_batch([*columns, pa.array([c for c, _ in spare], pa.list_(pa.int64())), pa.array([r for _, r in spare], pa.list_(pa.int32()))], names=names)
-
-        def inner(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
-            """Conversations that lie within the shard."""
-            codes, bounds, out = batch.column("code").to_pylist(), [*starts.tolist(), batch.num_rows], []
-            for i, j in zip(bounds, bounds[1:]):
-                own = (decide_short if j - i <= 32 else decide)(tuple(codes[i:j]))
-                out += [own[n : n + 1] for n in range(j - i)]
-            first, last = np.zeros((2, batch.num_rows), bool)
-            first[starts] = last[np.array(bounds[1:], np.int64) - 1] = True
-            return rows(batch, [None] * batch.num_rows, first, last, out, {})
-
-        def cut() -> pa.RecordBatch:
-            """A piece of a conversation that goes on beyond it or may do so."""
-            nonlocal pieces
-            batch = pa.concat_batches(held)
-            choices, costs, ranks = summed_up(tuple(batch.column("code").to_pylist()))
-            first, last = np.zeros((2, batch.num_rows), bool)
-            first[0] = last[-1] = True
-            pieces += 1
-            return rows(batch, [pieces - 1] * batch.num_rows, first, last, [c.tobytes() for c in choices], {0: (costs, ranks)})
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            starts = _starts(batch.column("conv_id"))
-            bounds, ids = [*starts.tolist(), batch.num_rows], batch.column("conv_id").take(pa.array(starts)).to_pylist()
-            k = 0
-            if ids[0] == now:
-                held.append(batch.slice(0, bounds[1]))
-                k = 1
-            if k < len(ids):  # the held conversation is over
-                if held:
-                    yield inner(pa.concat_batches(held), np.zeros(1, np.int64)) if whole else cut()
-                held, whole = [], now is not nothing
-                if not whole and len(ids) > 1:  # the first one may have begun in an earlier shard
-                    held = [batch.slice(0, bounds[1])]
-                    yield cut()
-                    held, whole, k = [], True, 1
-                begin, final = bounds[k], bounds[-2]
-                if final > begin:
-                    yield inner(batch.slice(begin, final - begin), starts[k:-1] - begin)
-                held = [batch.slice(final)]
-            now = ids[-1]
-            if sum(b.num_rows for b in held) >= piece_rows or sum(pc.sum(pc.binary_length(b.column("text"))).as_py() for b in held) >= PIECE_BYTES:
-                yield cut()
-                held, whole = [], False
-        if held:
-            yield cut()
-
-    spark = turns.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    code = F.lower(F.trim("role"))
-    code = sum((F.when(code == r, i).otherwise(0) for i, r in enumerate(ROLES) if i), F.lit(0))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(code, F.lit(0)).cast("int").alias("code"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(n, "conv_id", "turn", "role", F.xxhash64("text"), F.rand(7)).sortWithinPartitions("conv_id", "turn", "role", F.xxhash64("text"), "text")
-    return scratch.materialise(dealt.mapInArrow(run, ROW), "turns")
-
-
-def joined(rows: DataFrame) -> dict:
-    """(shard, piece) -> the index of the states before and after it, whether it opens and closes its conversation."""
-    found = rows.filter("costs IS NOT NULL").select("shard", "piece", "conv_id", "costs", "ranks").collect()
+        shard, n, edge = TaskContext.get().partitionId(), 0, {}
+
+        def seen(batches):
+            nonlocal n
+            for b in batches:
+                if b.num_rows:
+                    edge.setdefault(-1, b.slice(0, 1))
+                    edge[-2] = b.slice(b.num_rows - 1)
+                    n += b.num_rows
+                yield b
+
+        def row(key: pa.RecordBatch, piece: int, costs, ranks) -> pa.RecordBatch:
+            head = [pa.array([shard], pa.int32()), pa.array([piece], pa.int32()), pa.array([n])]
+            return pa.record_batch([*head, *[key.column(c) for c in names(KEY)], pa.array([costs], pa.list_(pa.int64())), pa.array([ranks], pa.list_(pa.int32()))], names=own)
+
+        for batch, _, piece in segments(seen(batches), piece_rows):
+            if piece is not None:
+                yield row(batch.slice(0, 1), piece, *matrix(tuple(batch.column("code").to_pylist())))
+        for place, key in edge.items():
+            yield row(key, place, None, None)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = names(KEY)
+    return rows.select(*names(ROW)).repartitionByRange(n, *key).sortWithinPartitions(*key).mapInArrow(run, FOUND).collect()
+
+
+def joined(found: list) -> dict:
+    """(shard, piece) -> the states before and after it, whether it opens and closes its conversation."""
     chains = defaultdict(list)
     for p in sorted(found, key=lambda p: (p.shard, p.piece)):
-        chains[p.conv_id].append(p)
+        if p.piece >= 0:
+            chains[p.conv_id].append(p)
     out = {}
     for chain in chains.values():
         totals, trail = [0, FAR, FAR, FAR], []
@@ -256,34 +282,72 @@ def joined(rows: DataFrame) -> dict:
         state = best_end(totals)
         for k in range(len(chain) - 1, -1, -1):
             before = trail[k][state]
-            out[chain[k].shard, chain[k].piece] = (4 * before + state, k == 0, k == len(chain) - 1)
+            out[chain[k].shard, chain[k].piece] = (before, state, k == 0, k == len(chain) - 1)
             state = before
     return out
 
 
+def shard_of(edges: list, schema: str) -> Column:
+    """The number of edges that are smaller than a row's key: a binary search in a constant array."""
+    if not edges:
+        return F.lit(0)
+    key = F.struct(*names(schema))
+    array = F.from_json(F.lit(json.dumps([{c: p[c] for c in names(schema)} for p in edges])), T.ArrayType(T._parse_datatype_string(schema)))
+    steps = [1 << b for b in range(len(edges).bit_length() - 1, -1, -1)]
+    less = lambda at: F.coalesce(F.get(array, at - 1) < key, F.lit(False))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(less(at + step), at + step).otherwise(at))
+
+
 def repair(turns: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """conv_id, turn, role -> new_role, action, inserted, cost and the rendered fragment, for every row."""
-    rows = chosen(turns, piece_rows)
-    known = turns.sparkSession.sparkContext.broadcast(joined(rows))
-    schema = "seq long, conv_id long, turn long, role string, new_role string, action string, inserted string, cost int, rendered string"
+    spark, rows = turns.sparkSession, prepared(turns)
+    found = survey(rows, piece_rows)
+    edge = lambda place: {p.shard: p for p in found if p.piece == place}
+    first, last = edge(-1), edge(-2)
+    order, key = sorted(last), KEY.removesuffix(", salt double")
+    whole = lambda p: (p.conv_id, p.turn, p.role, p.h)
+    if any(whole(last[i]) == whole(first[j]) for i, j in zip(order, order[1:])):
+        rows = scratch.materialise(rows, "turns")  # equal rows on both sides: split them by a number that stays
+        found = survey(rows, piece_rows)
+        last = edge(-2)
+        order, key = sorted(last), KEY
+    place = {shard: i for i, shard in enumerate(order)}
+    counts = [last[shard].n for shard in order]
+    known = spark.sparkContext.broadcast(({(place[s], piece): v for (s, piece), v in joined(found).items()}, [0, *np.cumsum(counts).tolist()]))
+    own = names(RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shard, piece, first, last, choices, text = (b.column(c).to_pylist() for c in ("shard", "piece", "first", "last", "choices", "text"))
-            own, rendered = np.zeros(b.num_rows, np.uint8), []
-            for i, choice in enumerate(choices):
-                at, opens, closes = (0, True, True) if piece[i] is None else known.value[shard[i], piece[i]]
-                own[i] = choice[at]
-                rendered.append(render(text[i], choice[at], opens and first[i], closes and last[i]))
-            state, action, inserted = own >> 4, own >> 2 & 3, own & 3
-            cost = action + np.where((action == MERGE) & (state != b.column("code").to_numpy()), RELABEL, 0)
+        from pyspark import TaskContext
+
+        shard, (states, offsets) = TaskContext.get().partitionId(), known.value
+        seq = begin = offsets[min(shard, len(offsets) - 1)]
+        for batch, starts, piece in segments(batches, piece_rows):
+            codes, n = batch.column("code").to_pylist(), batch.num_rows
+            first, last = np.zeros((2, n), bool)
+            if piece is None:
+                bounds = [*starts.tolist(), n]
+                choices = b"".join([(decide_short if j - i <= 32 else decide)(tuple(codes[i:j])) for i, j in zip(bounds, bounds[1:])])
+                first[starts] = last[np.array(bounds[1:], np.int64) - 1] = True
+            else:
+                before, after, first[0], last[-1] = states[shard, piece]
+                choices = backwards(forwards(tuple(codes), before)[1], after)[0]
+            rendered = list(map(render, batch.column("text").to_pylist(), choices, first.tolist(), last.tolist()))
+            choice = np.frombuffer(choices, np.uint8)
+            state, action, inserted = choice >> 4, choice >> 2 & 3, choice & 3
+            cost = action + np.where((action == MERGE) & (state != batch.column("code").to_numpy()), RELABEL, 0)
             name = lambda names, at: pa.array(names, pa.string()).take(pa.array(at))
             yield pa.record_batch([
-                pa.array((b.column("shard").to_numpy().astype(np.int64) << 40) + b.column("place").to_numpy()), b.column("conv_id"), b.column("turn"), b.column("role"),
+                pa.array(seq + np.arange(n)), batch.column("conv_id"), batch.column("turn"), batch.column("role"),
                 name(ROLES, state), name(ACTIONS, action), name((None, *ROLES[1:]), inserted), pa.array(cost, pa.int32()), pa.array(rendered, pa.string()),
-            ], names=[c.split()[0] for c in schema.split(", ")])
-
-    return rows.select("shard", "place", "conv_id", "turn", "role", "code", "text", "piece", "first", "last", "choices").mapInArrow(run, schema)
+            ], names=own)
+            seq += n
+        if shard + 1 < len(offsets) and seq != offsets[shard + 1]:
+            raise RuntimeError(f"shard {shard} has {seq - begin} rows now and had {offsets[shard + 1] - begin}")
+
+    shard = shard_of([last[s] for s in order[:-1]], key)
+    dealt = rows.withColumn("shard", shard).repartitionById(max(len(order), 1), F.col("shard"))
+    dealt = dealt.sortWithinPartitions("conv_id", "turn", "role", "h", "text")
+    return dealt.select("conv_id", "turn", "role", "code", "size", "text").mapInArrow(run, RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
