@@ -228,7 +228,7 @@ def test_simhash_on_documents(spark):
 
 
 def test_every_link_is_found(spark):
-    """Clusters round a few centres, some of them larger than a posting that is paired."""
+    """Clusters round a few centres."""
     rng, prints = random.Random(4), set()
     for size in (300, 40, 5):
         centre = rng.getrandbits(64)
@@ -237,10 +237,14 @@ def test_every_link_is_found(spark):
     prints = sorted(prints)
     rows = [(p - (1 << 64) if p >> 63 else p, n) for n, p in enumerate(prints)]
     links = simhash_dedup.links(spark.createDataFrame(rows, "fp long, rep long"))
-    got = {r.node: r.component for r in components.components(links).collect()}
+    number = dict(rows)
+    root = {number[r.node]: number[r.component] for r in components.components(links).collect()}
     pairs = [(a, b) for a, b in itertools.combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= 2]
-    want = reached(pairs, range(len(prints)))
-    assert {n: got.get(n, n) for n in want} == want
+    want, got, sets = reached(pairs, range(len(prints))), defaultdict(set), defaultdict(set)
+    for n in want:
+        got[root.get(n, n)].add(n)
+        sets[want[n]].add(n)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, sets.values()))
 
 
 def test_fingerprints_without_an_id_link_too(spark, monkeypatch):
@@ -259,8 +263,28 @@ def test_fingerprints_without_an_id_link_too(spark, monkeypatch):
     assert {(None, 0b11, 5), (9, 0b1111 << 40, 8), (None, 0xFFFF << 20, None), (7, 0x123457 << 30, 3)} <= got
 
 
-def test_left_out_positions_cover_every_pair():
-    assert {p for t in simhash_dedup.LEFT_OUT for p in itertools.combinations(t, 2)} == set(itertools.combinations(range(8), 2))
+def test_tallies_are_the_shared_positional_bytes():
+    rng = np.random.default_rng(3)
+    u = rng.integers(0, 256, (20_000, 8), np.uint8)
+    v = np.where(rng.random((20_000, 8)) < 0.3, rng.integers(0, 256, (20_000, 8), np.uint8), u)
+    got = simhash_dedup.tally(u.view(np.uint64).ravel(), np.ascontiguousarray(v).view(np.uint64).ravel())
+    assert got.tolist() == (u == v).sum(axis=1).tolist() and len(set(got.tolist())) > 6
+    # every two bytes that may differ are left out together by a list
+    assert {tuple(sorted(set(range(8)) - set(s))) for s in simhash_dedup.SETS} == set(itertools.combinations(range(8), 2))
+
+
+def test_many_fingerprints_that_agree_in_five_bytes(spark):
+    """A hundred thousand dealt over many lists; and a list with all values of fourteen bits."""
+    rng = np.random.default_rng(5)
+    wide = np.unique(rng.integers(0, 1 << 24, 100_000)) << 16 | 0x7A << 48
+    whole = np.arange(1 << 14) << 32 | 0x11 << 56
+    found = simhash_dedup.links(spark.createDataFrame(pa.table({"fp": np.concatenate((wide, whole))}))).toPandas().to_numpy()
+    node, root = components.local_roots(found[:, 0], found[:, 1])
+    assert len(set(root[np.isin(node, whole)])) == 1 and np.isin(whole, node).all()
+    at, known = dict(zip(node.tolist(), root.tolist())), set(wide.tolist())
+    masks = {1 << a | 1 << b for a in range(16, 40) for b in range(16, 40)}
+    linked = [(p, p ^ m) for p in wide[:500].tolist() for m in masks if p ^ m in known]
+    assert len(linked) > 100 and all(at[p] == at[q] for p, q in linked)
 
 
 def test_components_of_a_chain(spark):

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +43,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def one_of_each(df: DataFrame, *keys: Column) -> DataFrame:
+    """Of the rows with equal keys, the one with the smallest hash of all columns; aggregated before it is shuffled."""
+    names = unused(df, *[f"_k{n}" for n in range(len(keys))])
+    row, least = F.struct(*[df[c] for c in df.columns]), F.xxhash64(*[df[c] for c in df.columns])
+    found = df.groupBy(*[k.alias(n) for k, n in zip(keys, names)]).agg(F.min_by(row, least).alias("row"))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
+
+
 def filesystem(spark: SparkSession, path: str):
     """The Hadoop file system of ``path`` and the path itself, as JVM objects."""
     jvm = spark.sparkContext._jvm

@@ -1,29 +1,34 @@
 """Operator 9: near-duplicates by SimHash and a byte-position inverted index.
 
 A fingerprint has eight bytes. Two that differ in at most two bits differ in
-at most two bytes, so at least six bytes agree position by position. Posting
-lists of single positions hold a 256th of all fingerprints, and pairing within
-them is quadratic; so the lists are intersected first: a posting is keyed by
-five positions with their bytes. The eleven position sets leave out three each
-such that every two positions are left out together by one of them, hence any
-pair with six matches meets in a posting, and a posting holds at most 2**24
-distinct fingerprints. Candidates of a posting have their matching positions
-tallied, those with fewer than six go, the rest are verified bit by bit.
-Postings of more than ``PAIRED`` fingerprints look up all one- and two-bit
-changes of each instead of pairing, which finds the same links in linear work.
-
-Equal fingerprints are one node from the start, and postings give at most one
-link a node, so no group of copies is ever listed pair by pair.
-
-Null and empty texts have no words: fingerprint zero, linked like any other.
-Rows with a null ``doc_id`` never name a component; if only such rows reach
-each other, the component is null. Repeated rows get a row each. An empty table
-gives an empty result. Further columns are ignored, and kept by ``keep``.
+at most two bytes, so at least six bytes agree position by position: the
+guaranteed minimum. Lists of single positions hold a 256th of all fingerprints,
+and pairing within them is quadratic; so the index is read six positions at a
+time. A list has the fingerprints with the same bytes at six given positions,
+and every fingerprint is in 28 lists. In each list the shared positional bytes
+of every pair are tallied, pairs below the minimum go, and the rest are verified
+bit by bit. A pair with six matches meets in one list, one with seven in seven.
+
+There is one way for lists of all sizes. A list holds at most 2**16 distinct
+fingerprints, as two bytes are free: 1 MB of memory and 2**31 tallies, about 20
+seconds, in the worst case. However many fingerprints agree in fewer positions,
+they are dealt over as many lists, and lists over tasks. Random fingerprints
+meet by the 2**48th part, and a list gives at most one link a fingerprint.
+
+Equal fingerprints are one node from the start, so no group of copies is ever
+listed pair by pair.
+
+Null and empty texts have no words: fingerprint zero, linked like any other. A
+very long text is hashed whole, in a slice of its own. Rows with a null
+``doc_id`` never name a component; if only such rows reach each other, the
+component is null. Repeated rows get a row each. An empty table gives an empty
+result. Further columns are ignored, whatever their names, and kept by ``keep``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +41,8 @@ from tokenloom.llm import words as W
 from tokenloom.llm.components import components, local_roots
 
 SHINGLE, SEED, BITS, MATCHES = 3, 42, 2, 6
-#: Positions that a posting leaves out.
-LEFT_OUT = [(0, 1, 2), (0, 3, 4), (0, 5, 6), (0, 1, 7), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5), (2, 3, 7), (4, 5, 7), (3, 6, 7)]
-PAIRED = 48
+#: Positions of each list of the index.
+SETS = list(combinations(range(8), MATCHES))
 #: Bytes of text at a time; a shingle takes some hundred bytes while it is hashed.
 SLICE_BYTES = 2 << 20
 _SPREAD = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], np.uint64)
@@ -105,63 +109,52 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """A row for each distinct fingerprint and position set."""
+    """A row for each distinct fingerprint and list: the positions' number, their bytes, and the fingerprint."""
 
-    def key(k: int, out: tuple[int, ...]):
-        mask = sum(0xFF << (8 * p) for p in range(8) if p not in out)
+    def key(k: int, positions: tuple[int, ...]):
+        mask = sum(0xFF << (8 * p) for p in positions)
         signed = mask - (1 << 64) if mask >> 63 else mask
-        return F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed).cast("long")).alias("bytes"))
+        return F.struct(F.lit(k).cast("tinyint").alias("k"), F.col("fp").bitwiseAND(F.lit(signed).cast("long")).alias("bytes"))
 
-    return nodes.select(F.explode(F.array(*[key(k, o) for k, o in enumerate(LEFT_OUT)])).alias("key"), "fp", "rep").select("key.k", "key.bytes", "fp", "rep")
+    return nodes.select(F.explode(F.array(*[key(k, p) for k, p in enumerate(SETS)])).alias("key"), "fp").select("key.k", "key.bytes", "fp")
 
 
-def _near(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Count filtering, then verification."""
-    x = np.ascontiguousarray(u ^ v)
-    good = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= MATCHES
-    good[good] = np.bitwise_count(x[good]) <= BITS
-    return good
+def tally(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The number of positions at which the bytes of two fingerprints agree."""
+    x = u ^ v
+    for shift in (4, 2, 1):
+        x |= x >> np.uint64(shift)
+    return 8 - np.bitwise_count(x & np.uint64(0x0101010101010101))
 
 
-def posting_links(start: np.ndarray, size: np.ndarray, k: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of linked fingerprints in runs of equal keys; within a run, fingerprints ascend and differ."""
-    left, right = [], []
-    small = size <= PAIRED
-    reach = np.repeat(np.where(small, size, 0), size)
-    place = W.spans(np.zeros(len(size), np.int64), size)
-    for d in range(1, int(size[small].max(initial=0))):
-        i = np.flatnonzero(place + d < reach)
-        i = i[_near(fp[i], fp[i + d])]
+def list_links(size: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of linked fingerprints in lists of these sizes, one list after the other."""
+    later = np.repeat(size, size) - W.spans(np.zeros(len(size), np.int64), size) - 1
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    live, d = np.flatnonzero(later), 1
+    while len(live):
+        i = live[tally(fp[live], fp[live + d]) >= MATCHES]
+        i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= BITS]
         left.append(i)
         right.append(i + d)
-    for r in np.flatnonzero(~small):
-        own, s = fp[start[r] : start[r] + size[r]], int(start[r])
-        bits = [np.uint64(1) << np.uint64(8 * p + b) for p in LEFT_OUT[int(k[s])] for b in range(8)]
-        changes = bits + [a | b for n, a in enumerate(bits) for b in bits[n + 1 :]]
-        for change in changes:
-            other = own ^ change
-            at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-            i = np.flatnonzero((own[at] == other) & (other > own))
-            left.append(s + i)
-            right.append(s + at[i])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+        d += 1
+        live = live[later[live] >= d]
+    return np.concatenate(left), np.concatenate(right)
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """``fp, rep`` -> links ``u, v`` between representatives, at most one a node and posting."""
+    """Distinct ``fp`` -> links ``u, v`` between them, at most one a fingerprint and list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[np.ndarray] = []  # at most one list
 
-        def linked(k, key, fp, rep):
+        def linked(k, key, fp):
             if not len(k):
                 return
             first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (key[1:] != key[:-1]))))
-            size = np.diff(np.append(first, len(k)))
-            i, j = posting_links(first, size, k, fp.view(np.uint64))
+            i, j = list_links(np.diff(np.append(first, len(k))), fp.view(np.uint64))
             if len(i):
-                node, root = local_roots(rep[i], rep[j])
+                node, root = local_roots(fp[i], fp[j])
                 far = node != root
                 yield pa.record_batch([pa.array(node[far]), pa.array(root[far])], names=["u", "v"])
 
@@ -171,14 +164,13 @@ def links(nodes: DataFrame) -> DataFrame:
             new = [c.to_numpy() for c in batch.columns]
             now = [np.concatenate(p) for p in zip(held, new)] if held else new
             last = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
-            done = len(last) - int(last.sum())  # sorted: the last posting may go on
+            done = len(last) - int(last.sum())  # sorted: the last list may go on
             yield from linked(*[c[:done] for c in now])
-            held = [c[done:] for c in now]
+            held = [c[done:].copy() for c in now]
         if held:
             yield from linked(*held)
 
-    dealt = postings(nodes).withColumn("order", F.col("fp").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
-    dealt = dealt.repartition("k", "bytes").sortWithinPartitions("k", "bytes", "order").drop("order")
+    dealt = postings(nodes).repartition("k", "bytes").sortWithinPartitions("k", "bytes")
     return dealt.mapInArrow(run, "u long, v long")
 
 
@@ -189,7 +181,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # fingerprints are the nodes, as some have no id; those with one id belong together
     first = nodes.filter("rep IS NOT NULL").groupBy("rep").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1")
     same = nodes.join(scratch.materialise(first, "repeated_ids"), "rep").select(F.col("fp").alias("u"), "v").filter("u <> v")
-    found = components(links(nodes.select("fp", F.col("fp").alias("rep"))).unionByName(same))
+    found = components(links(nodes.select("fp")).unionByName(same))
     linked = scratch.materialise(nodes.join(found, nodes.fp == found.node).select("fp", "rep", "component"), "linked")
     names = scratch.materialise(linked.groupBy("component").agg(F.min("rep").alias("component_id")), "names")
     alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("rep").alias("component_id"))
@@ -200,19 +192,24 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document that names it, with all columns.
 
-    A document is its id and text, and repeated rows are one. Of different texts
-    with the id that names the component, the one with the smaller hash stays.
+    A document is its id and text, and repeated rows are one: that with the
+    smallest hash of all columns stays. Of different texts with the id that names
+    the component, the one with the smaller hash stays.
     """
     found = scratch.materialise(classes(docs), "near_copies")
     named = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = named.groupBy("component_id", "doc_id").agg(F.min("text_key").alias("first_key"), F.max("text_key").alias("last_key"), F.count("*").alias("n"))
     twice = scratch.materialise(first.filter("n > 1"), "repeated")
     lost = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_key")
-    lost = lost.unionByName(named.join(twice.select("doc_id", "component_id", "first_key"), ["doc_id", "component_id"]).filter("text_key > first_key").select("doc_id", "text_key"))
+    lost = lost.unionByName(named.join(twice.filter("first_key < last_key").select("component_id", "first_key"), "component_id").filter("text_key > first_key").select("doc_id", "text_key"))
     own_id, own_key = scratch.unused(docs, "_id", "_key")
     lost = lost.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
-    left = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(own_key)), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"]) if twice.limit(1).count() else left
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(own_key))
+    left = docs.join(lost, same, "left_anti")
+    if not twice.limit(1).count():
+        return left
+    again = twice.select(F.col("doc_id").alias(own_id), F.col("first_key").alias(own_key))
+    return left.join(again, same, "left_anti").unionByName(scratch.one_of_each(left.join(again, same, "left_semi"), F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
