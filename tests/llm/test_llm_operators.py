@@ -150,18 +150,49 @@ def test_expectation_maximisation_finds_accuracies():
     assert np.allclose(list(weak_labels.accuracies(table).values()), right, atol=0.03)
 
 
-def test_exact_dedup(spark, odd, empty):
+def test_exact_dedup(spark, odd, empty, monkeypatch):
     groups = defaultdict(list)
     for i, t in ODD:
         groups[t or ""].append(i)
     best = lambda ids: max((i for i in ids if i is not None), default=None)
-    want = {(i, hashlib.sha256((t or "").encode()).hexdigest()): (best(groups[t or ""]), len(groups[t or ""]), i == best(groups[t or ""])) for i, t in ODD}
-    assert {(r.doc_id, r.text_sha256): (r.keep_id, r.group_size, r.kept) for r in exact_dedup.verdicts(odd).collect()} == want
+    want = Counter((i, hashlib.sha256((t or "").encode()).hexdigest(), best(groups[t or ""]), len(groups[t or ""])) for i, t in ODD)
+    for repeats in (exact_dedup.REPEATS, 1):
+        monkeypatch.setattr(exact_dedup, "REPEATS", repeats)
+        rows = exact_dedup.verdicts(odd).collect()
+        assert Counter((r.doc_id, r.text_sha256, r.keep_id, r.group_size) for r in rows) == want
+        assert Counter(r.text_sha256 for r in rows if r.kept) == Counter({h for _, h, _, _ in want})
+        assert all(r.doc_id == r.keep_id for r in rows if r.kept)
     left = exact_dedup.keep(odd).collect()
     assert sorted((r.text or "") for r in left) == sorted(groups) and left[0].kept == "x"
     assert exact_dedup.verdicts(empty).count() == 0 and exact_dedup.keep(empty).count() == 0
 
 
+def test_exact_dedup_sql_on_odd_rows(spark, odd, tmp_path):
+    """Repeats, null ids and texts, one id far from the others."""
+    table = odd.unionByName(odd.limit(4)).unionByName(spark.createDataFrame([(1 << 60, "a b c d", None, None)] * 3 + [(None, "only", None, None)] * 2, SCHEMA))
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = exact_dedup.query(spark, str(tmp_path)).collect(), con.execute(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({exact_dedup.SQL})").fetchall()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == Counter(want)
+
+
+def test_survivors_of_repeated_rows_do_not_depend_on_the_order(spark):
+    rows = [(1, "a b c", f"s{n}", "x") for n in range(20)] + [(2, "a b c", "t", "x"), (3, "q r s t", "u", None), (3, "q r s t", "u", "y")]
+    rows += [(None, "n n n n", f"v{n}", None) for n in range(5)]
+    for keep in (exact_dedup.keep, simhash_dedup.keep):
+        got = [sorted(map(str, keep(spark.createDataFrame(random.Random(n).sample(rows, len(rows)), SCHEMA).repartition(n + 1)).collect())) for n in range(3)]
+        assert got[0] == got[1] == got[2] and len(got[0]) == 3
+
+
+def test_dedup_of_very_long_texts(spark, long_text):
+    rows = [(1, long_text), (2, long_text + "."), (3, long_text), (4, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.verdicts(df).collect()) == [(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True), (4, 4, 1, True)]
+    prints = {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash_dedup.classes(df).collect()}
+    assert prints == {i: (fingerprint(t), 4 if i == 4 else 1) for i, t in rows}
+
+
 def test_columns_with_names_that_operators_use(spark):
     names = ["_id", "_sha", "_key", "_text", "_source", "_parts", "_cdf", "_salt", "_count", "_number", "_copy", "_order", "parts", "cdf", "w", "n", "copy", "ORDER_KEY", "ids", "digest", "fp", "text_key", "component_id", "llr", "h"]
     rows = [(i, f"a b c {i % 3}", "s") for i in range(8)] + [(9, None, "s"), (9, "", "s")]

@@ -8,12 +8,13 @@ grouped by digest before they are looked up, so a text with very many copies
 is one lookup; a hit counts only if all 32 bytes agree. Hits join the slot's
 group, digests that are no members form groups of their own.
 
-Texts are equal when identical; null counts as empty. Of equal texts the row
-with the largest ``doc_id`` stays; a null id loses to any other. Rows repeated
-with the same id and text are one document: they count in ``group_size`` and
-give one result row, and ``keep`` leaves one of them. An empty table gives an
-empty result. Only ``doc_id`` and ``text`` are read; ``keep`` passes all
-columns through.
+Texts are equal when identical; null counts as empty, and long texts are hashed
+whole. Of equal texts the row with the largest ``doc_id`` stays; a null id loses
+to any other. Every row gets a row, and exactly one of a group is kept: rows
+repeated with the same id and text are aggregated first, and of those that win,
+one is kept (``keep`` takes the one with the smallest hash of all columns). An
+empty table gives an empty result. Only ``doc_id`` and ``text`` are read, so
+further columns may have any name; ``keep`` passes all columns through.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from tokenloom.llm import scratch
 
 #: Digests that a partition of the index holds, about.
 SLOTS = 200_000
+#: Repeats of a document that one task writes out.
+REPEATS = 100_000
 INDEX = "part int, sizes array<long>, bits binary, digests binary, winners binary, rows binary"
 GROUPS = "digest binary, keep_id long, group_size long"
 NO_ID = np.iinfo(np.int64).min
@@ -143,38 +146,49 @@ def look_up(groups: DataFrame, index: DataFrame, parts: int) -> DataFrame:
 
 
 def groups(rows: DataFrame, history: float = 0.5) -> DataFrame:
-    """Groups of equal texts. ``history``: the share of the id range, from below, whose digests are indexed."""
+    """Groups of equal texts. ``history``: the share of the documents, by ``doc_id`` from below, whose digests are indexed."""
     spark = rows.sparkSession
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    cut = F.lit(None).cast("long") if low is None else F.lit(int(low + (high - low) * history))
-    earlier = F.coalesce(F.col("doc_id") <= cut, F.lit(False))
+    cut, n = rows.agg(F.percentile_approx("doc_id", history, 1000), F.count("*")).first()
+    earlier = F.coalesce(F.col("doc_id") <= F.lit(cut).cast("long"), F.lit(False))
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // SLOTS)
     index = scratch.materialise(build_index(grouped(rows.filter(earlier)), parts), "perfect_hash")
     return look_up(grouped(rows.filter(~earlier)), index, parts)
 
 
-def verdicts(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 and the number of repeats of each document."""
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, keep_id, group_size, whether it wins, and the number of copies of each document."""
     rows = documents(docs)
-    several = groups(rows).filter("group_size > 1")
-    joined = rows.join(several, "digest", "left")
+    joined = rows.join(groups(rows).filter("group_size > 1"), "digest", "left")
+    alone = F.col("group_size").isNull()
     return joined.select(
-        "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        (F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"), F.col("copies").alias("repeats"),
+        "doc_id", "digest", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"), (alone | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("wins"), "copies",
     )
 
 
+def verdicts(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of each row."""
+    found = scratch.materialise(judged(docs), "verdicts")
+    out = lambda df, kept: df.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    # copies are dealt out in runs, so that no task writes all copies of one document
+    runs = found.filter("copies > 1").withColumn("run", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(REPEATS).cast("long"))))
+    last = F.least(F.col("copies"), F.col("run") + REPEATS - 1)
+    again = runs.repartition("digest", "doc_id", "run").withColumn("number", F.explode(F.sequence(F.col("run"), last)))
+    return out(found.filter("copies = 1"), F.col("wins")).unionByName(out(again, F.col("wins") & (F.col("number") == 1)))
+
+
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    found = scratch.materialise(verdicts(docs).filter("NOT kept OR repeats > 1"), "exact_copies")
-    own_id, own_sha, own_text = scratch.unused(docs, "_id", "_sha", "_text")
-    lost = found.filter("NOT kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    left = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.sha2(text.cast("binary"), 256) == F.col(own_sha)), "left_anti")
-    again = found.filter("kept AND repeats > 1").limit(1).count()
-    return left.withColumn(own_text, text).dropDuplicates(["doc_id", own_text]).drop(own_text) if again else left
+    found = scratch.materialise(judged(docs).filter("NOT wins OR copies > 1").select("doc_id", F.lower(F.hex("digest")).alias("sha"), "wins"), "exact_copies")
+    own_id, own_sha = scratch.unused(docs, "_id", "_sha")
+    named = found.select(F.col("doc_id").alias(own_id), F.col("sha").alias(own_sha), "wins")
+    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (sha == F.col(own_sha))
+    left = docs.join(named.filter("NOT wins").drop("wins"), same, "left_anti")
+    again = named.filter("wins").drop("wins")
+    if not again.limit(1).count():
+        return left
+    return left.join(again, same, "left_anti").unionByName(scratch.one_of_each(left.join(again, same, "left_semi"), F.col("doc_id").cast("long"), sha))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +197,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256, CAST(1 AS BIGINT) AS repeats
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
