@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm import scratch
+from tokenloom.llm import scratch, spreading
 
 ROLES = ("start", "system", "user", "assistant")
 ACTIONS = ("keep", "merge", "relabel", "insert")
@@ -288,14 +288,12 @@ def joined(found: list) -> dict:
 
 
 def shard_of(edges: list, schema: str) -> Column:
-    """The number of edges that are smaller than a row's key: a binary search in a constant array."""
+    """The number of edges that are smaller than a row's key."""
     if not edges:
         return F.lit(0)
     key = F.struct(*names(schema))
     array = F.from_json(F.lit(json.dumps([{c: p[c] for c in names(schema)} for p in edges])), T.ArrayType(T._parse_datatype_string(schema)))
-    steps = [1 << b for b in range(len(edges).bit_length() - 1, -1, -1)]
-    less = lambda at: F.coalesce(F.get(array, at - 1) < key, F.lit(False))
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(less(at + step), at + step).otherwise(at))
+    return spreading.below(array, len(edges), key)
 
 
 def repair(turns: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:

@@ -4,14 +4,18 @@ Source s with n_s of N documents and weight w_s has the mean repetition rate
 w_s * total / n_s, weights summing to one. Each document inverts the Poisson
 distribution of that mean at a number in [0, 1) that is hashed from the seed,
 its id and its text; it is exploded by the count, and the copies are dealt over
-all partitions and ordered within them by a hash of their own. Everything hangs
-on hashes alone, so a lost task makes the same rows again.
+all partitions and ordered within them by a hash of their own; copies with equal
+``order_key`` (repeated rows) are ordered by copy and else interchangeable.
+Everything hangs on hashes alone, so a lost task makes the same rows again. Rows
+repeated very often share all hashes; they are numbered from the data
+(``spreading``) and the number helps to deal them out, so no partition gets all.
 
 Weights may be given by source; sources without one get none. Otherwise w_s is
 in proportion to n_s ** ``exponent`` (1/2: large sources are damped, small ones
 repeated). A mean above ``PART`` is drawn as a sum of equal parts, which is
 Poisson again and keeps exp(-mean) in range. A null source is a source of its
-own; a null text or id hashes as its own marker. Repeated rows have the same
+own; a null text or id hashes as its own marker, an empty text as itself, a very
+long one whole. Repeated rows have the same
 hash and so the same count. An empty table gives an empty result. All columns
 pass through; those added carry the names given and replace columns that have
 these names already.
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import scratch
+from tokenloom.llm import scratch, spreading
 
 PART = 32.0
 #: P(count > STEPS) for a mean of PART is below 1e-25.
@@ -63,9 +67,11 @@ def tables(rate: DataFrame) -> DataFrame:
 def replicate(docs: DataFrame, seed: int = 7, weights: dict[str, float] | None = None, total: float | None = None, exponent: float = 0.5,
               copy: str = "copy", order: str = "order_key") -> DataFrame:
     """``docs`` exploded by their counts and shuffled, with the copy's number from 1 and its place in the order."""
-    source, parts, cdf, salt, n_copies, number = scratch.unused(docs, "_source", "_parts", "_cdf", "_salt", "_count", "_number")
+    columns = docs.columns
+    repeat, source, parts, cdf, salt, n_copies, number = scratch.unused(docs, "_repeat", "_source", "_parts", "_cdf", "_salt", "_count", "_number")
     shape = tables(rates(docs.select("source"), weights, total, exponent)).select(F.col("source").alias(source), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
     shape = scratch.materialise(shape, "rates")
+    docs = spreading.numbered(docs, repeat)
     if shape.count() <= MOST_SOURCES:
         drawn = docs.join(F.broadcast(shape), docs["source"].eqNullSafe(shape[source]))
     else:  # too many to send everywhere: join by source, each source's rows dealt over salts
@@ -78,10 +84,10 @@ def replicate(docs: DataFrame, seed: int = 7, weights: dict[str, float] | None =
     count = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(cdf, lambda c: c <= u)))
     kept = drawn.withColumn(n_copies, count).filter(F.col(n_copies) > 0).withColumn(number, F.explode(F.sequence(F.lit(1), F.col(n_copies))))
     key = uniform(F.lit("order"), *name, F.col(number))
-    others = [docs[c] for c in docs.columns if c.lower() not in (copy.lower(), order.lower())]
-    out = kept.select(*others, F.col(number).cast("long").alias(copy), key.alias(order))
+    others = [docs[c] for c in columns if c.lower() not in (copy.lower(), order.lower())]
+    out = kept.select(*others, docs[repeat], F.col(number).cast("long").alias(copy), key.alias(order))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(n, order).sortWithinPartitions(order, copy)
+    return out.repartition(n, order, repeat).sortWithinPartitions(order, copy).drop(repeat)
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:

@@ -6,10 +6,13 @@ Ids are a list column with dictionary pages; ``doc_id``, ``n_tokens`` and
 set sizes, and the writer adds the column and offset indexes, so a reader of a
 few ids or of the metadata alone touches only those pages.
 
-Order: a null ``doc_id`` comes first and repeated ids follow each other by
-text. A null text is an empty one; an empty text still has its end id. An
-empty table gives a folder without rows. Only ``doc_id`` and ``text`` are read,
-so further columns may have any name.
+Order: a null ``doc_id`` comes first; rows of one id follow each other by text
+within a shard. A shard is a range of ids; an id (or null) with more rows than a
+shard should have is dealt over several shards by the hash of its texts, and equal
+rows of heavy ids by a number (``spreading``). A null text is an empty one; an
+empty text still has its end id; a very long one is encoded whole. Repeated rows
+are written as often as they come. An empty table gives a folder without rows.
+Only ``doc_id`` and ``text`` are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -18,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, scratch
+from tokenloom.llm import bpe, scratch, spreading
 from tokenloom.llm import words as W
 
 END_ID = 1
+NO_ID = -(1 << 63)
 SCHEMA = "shard int, doc_id long, n_tokens long, offset long, tokens array<int>"
 
 
@@ -34,26 +38,17 @@ def _library(source: str) -> bpe.Chunks:
     return bpe.Chunks(tokenizer, lambda pieces: [[t.id for t in model.tokenize(p)] for p in pieces])
 
 
-def shard_column(docs: DataFrame, shards: int):
-    """The shard of a row: ranges of ``doc_id`` with about as many rows each, found from that column alone."""
-    steps = [i / shards for i in range(1, shards)]
-    cuts = docs.select(F.percentile_approx("doc_id", steps, 20 * shards)).first()[0] if steps else []
-    if not cuts:
-        return F.lit(0)
-    cuts = sorted(set(cuts))
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) if len(cuts) < 64 else _searched(cuts)
-
-
-def _searched(cuts: list[int]):
-    """A balanced tree of comparisons, for many shards."""
+def shard_column(docs: DataFrame, shards: int, salt: Column) -> Column:
+    """The shard of a row: ranges of ``doc_id`` with about as many rows each, found from that column alone.
 
-    def tree(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("doc_id") > cuts[mid], tree(mid + 1, high)).otherwise(tree(low, mid))
-
-    return F.when(F.col("doc_id").isNull(), 0).otherwise(tree(0, len(cuts)))
+    Where several cuts are one id, its rows are dealt over their shards by ``salt``.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    steps = [i / shards for i in range(1, shards)]
+    cuts = sorted(docs.select(F.percentile_approx(key, steps, 20 * shards)).first()[0] or []) if steps else []
+    array = F.lit(cuts) if cuts else F.array()
+    first, last = spreading.below(array, len(cuts), key), spreading.below(array, len(cuts), key, equal=True)
+    return F.when(last > first, first + F.pmod(salt, last - first).cast("int")).otherwise(first)
 
 
 def write(docs: DataFrame, path: str, shards: int | None = None, tokenizer_path: str | None = None, end_id: int | None = END_ID,
@@ -84,7 +79,8 @@ def write(docs: DataFrame, path: str, shards: int | None = None, tokenizer_path:
                 tokens = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view("<i4")))
                 yield pa.record_batch([part.column("shard"), part.column("doc_id"), pa.array(counts), pa.array(offset), tokens], names=["shard", "doc_id", "n_tokens", "offset", "tokens"])
 
-    rows = docs.select(shard_column(docs, shards).cast("int").alias("shard"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = spreading.numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "number")
+    rows = rows.select(shard_column(docs, shards, F.xxhash64("text", "number")).cast("int").alias("shard"), "doc_id", "text")
     (rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
      .mapInArrow(encoded, SCHEMA).write.option("compression", "zstd")
      .option("parquet.writer.version", "PARQUET_2_0").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)
