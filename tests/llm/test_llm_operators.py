@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -84,6 +85,21 @@ def test_codec(spark, odd, empty, library):
     assert back.decoded == "a</w> b</w> c</w> d</w>" and back.kept == "x"
 
 
+def test_codec_of_very_long_texts(spark, long_text, library):
+    row = bpe_codec.digests(spark.createDataFrame([(1, long_text)], "doc_id long, text string")).first()
+    ids = library.encode(long_text, add_special_tokens=False).ids
+    assert (row.n_tokens, row.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+
+
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"pre_tokenizer": None}, {"normalizer": {"type": "NFC"}}, {"decoder": {"type": "ByteLevel"}}])
+def test_other_tokenizer_files_are_refused(spark, odd, tmp_path, change):
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(json.load(open(bpe.default_path(), encoding="utf-8")) | change))
+    for use in (lambda: bpe_codec.digests(odd, str(path)), lambda: bpe_codec.encode(odd, tokenizer_path=str(path)), lambda: token_files.write(odd, str(tmp_path / "out"), tokenizer_path=str(path))):
+        with pytest.raises(ValueError):
+            use()
+
+
 def test_token_files(spark, odd, empty, library):
     path = scratch.fresh_path(spark, "tokens")
     token_files.write(documents(spark), path, shards=3)

@@ -6,9 +6,12 @@ and no merge can fire across any adjacent pair before both sides are complete;
 that test runs on all pairs of a batch at once, down the merge trees. Pieces
 with a failing pair go through exact merging.
 
-A null text counts as empty, an empty text has no ids, repeated rows are
-encoded alike, and columns other than ``text`` pass through untouched; a column
-that has the name of the result is replaced by it.
+A null text counts as empty, an empty text has no ids, a very long one is encoded
+whole, in a slice of its own. Repeated rows get a row each and are encoded alike;
+there are no ties. An empty table gives an empty result. Columns other than
+``text`` pass through untouched; a column that has the name of the result is
+replaced by it. Tokenizer files with another normalizer or pre-tokenizer than
+the one covered are refused.
 """
 
 from __future__ import annotations
@@ -188,15 +191,6 @@ class Codec:
         return b" ".join([texts[i] for i in ids if 0 <= i < len(texts)])
 
 
-def _source(spark: SparkSession, path: str | None):
-    with open(path or bpe.default_path(), encoding="utf-8") as f:
-        source = f.read()
-    spec = json.loads(source)
-    if spec["model"]["type"] != "BPE" or spec.get("decoder") or spec.get("post_processor") or spec["model"].get("byte_fallback") or spec["model"].get("ignore_merges"):
-        raise ValueError("only plain BPE files without decoder and post-processor are covered")
-    return spark.sparkContext.broadcast(source)
-
-
 def _appended(df: DataFrame, name: str, kind: str, function) -> DataFrame:
     """``df`` with a column that ``function`` makes from each batch, in place of any of that name."""
     others = [i for i, c in enumerate(df.columns) if c.lower() != name.lower()]
@@ -212,7 +206,7 @@ def _appended(df: DataFrame, name: str, kind: str, function) -> DataFrame:
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer_path: str | None = None) -> DataFrame:
     """``df`` with the ids of a text column."""
-    source = _source(df.sparkSession, tokenizer_path)
+    source = bpe.shared(df.sparkSession, tokenizer_path)
 
     def run(batch):
         codec = bpe.once(("codec", hash(source.value)), lambda: Codec(source.value))
@@ -225,7 +219,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer_path:
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", tokenizer_path: str | None = None) -> DataFrame:
     """``df`` with the text of an id column; a null list gives a null."""
-    source = _source(df.sparkSession, tokenizer_path)
+    source = bpe.shared(df.sparkSession, tokenizer_path)
 
     def run(batch):
         codec = bpe.once(("codec", hash(source.value)), lambda: Codec(source.value))
@@ -236,7 +230,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", tokenizer_pat
 
 def digests(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, and hashes of the ids and of the text that they decode to."""
-    source = _source(docs.sparkSession, tokenizer_path)
+    source = bpe.shared(docs.sparkSession, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.once(("codec", hash(source.value)), lambda: Codec(source.value))

@@ -56,8 +56,7 @@ def write(docs: DataFrame, path: str, shards: int | None = None, tokenizer_path:
     """Encode ``doc_id, text`` and write the files."""
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with open(tokenizer_path or bpe.default_path(), encoding="utf-8") as f:
-        source = spark.sparkContext.broadcast(f.read())
+    source = bpe.shared(spark, tokenizer_path)
     tail = np.array([] if end_id is None else [end_id], "<u4")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
