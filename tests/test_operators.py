@@ -1,4 +1,6 @@
 import random
+import re
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -15,8 +17,10 @@ from tokenloom.operators import subwords
 from tokenloom.plans import derived, queries
 from tokenloom.sources.lines import normalize_file
 from tokenloom.sources.tables import spread
-from tokenloom.sources.vocab import Encoding, load_encoding, parse
+from tokenloom.sources.vocab import Encoding, fetch_encoding, load_encoding, parse
 
+PYTHON_PATTERN = re.compile(X.PATTERN.encode("latin-1").replace(rb"\x0B", b"\x0b"))
+BYTES = len(derived.SPECIALS)
 WORDS = ["th", "he", "in", "er", "an", "lo", "the", "hello", "an", "é"]
 TEXTS = ["hello the inn", "snake_case", "don't we've", "é 日 x", "a  b\n\nc \n d", "\r\n", "\r\r\n", "x\0y", "", None, "thethethe", "<s>hello</s>", "q" * 200 + "th" * 60, "'T 's", "a b\u0085c\x0bd"]
 
@@ -39,7 +43,7 @@ def merged(data: bytes, e: Encoding) -> list[int]:
 
 def ordinary(text: str, e: Encoding) -> list[int]:
     out = []
-    for p in E._PYTHON_PATTERN.findall(text.encode().split(b"\0")[0]):
+    for p in PYTHON_PATTERN.findall(text.encode().split(b"\0")[0]):
         if p in e.encoder:
             out.append(e.encoder[p])
             continue
@@ -69,7 +73,7 @@ def test_merge_query_takes_pieces_of_any_length(spark, tmp_path):
     words = ["the", "in", "thein" * 12 + "thei", "thein" * 13, "rlo" * 700, "7" * 65, " " * 66, "12" * 400]
     spark.createDataFrame([(n, f"{w}.") for n, w in enumerate(words)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     e, want = derived.of(spark, str(tmp_path)), {}
-    for w in words:
+    for w in [*words, "."]:
         starts = merged(w.encode(), e)
         want[w.encode().hex().upper()] = " ".join(w[i:j].encode().hex().upper() for i, j in zip(starts, [*starts[1:], len(w)]))
     assert {r.hx: r.parts for r in queries.first_byte_merge(spark, str(tmp_path)).collect()} == want
@@ -87,17 +91,17 @@ def test_special_tokens(spark, encoding):
     df = spark.createDataFrame([("<s>hello</s>",), ("<s><pad>",), ("plain",)], "text string")
     get = lambda allowed: [r.tokens for r in E.encode(df, encoding, allowed).collect()]
     hello = encoding.encoder[b"hello"]
-    assert get("all")[0] == [2, hello, 3]
-    assert get(["<s>"])[1] == [2, 0]  # a part equal to any special token is that token
+    assert get("all")[0] == [1, hello, 2]
+    assert get(["<s>"])[1] == [1, 0]  # a part equal to any special token is that token
     assert get(None)[0] == ordinary("<s>hello</s>", encoding)
-    assert get(["hello"])[0] == [2, hello, 3]
+    assert get(["hello"])[0] == [1, hello, 2]
     assert get(["s>h"])[0] == ordinary("<", encoding) + ordinary("s>h", encoding) + ordinary("ello</s>", encoding)
 
 
 def test_bytes_pieces_and_single_tokens(spark, encoding):
     df = spark.createDataFrame([(bytearray(b"hello"),), (bytearray(b"<s>"),), (bytearray(b""),), (bytearray(b"zz"),), (None,)], "data binary")
     e = encoding.encoder
-    assert [r.token for r in E.encode_single_token(df, encoding).collect()] == [e[b"hello"], 2, 0, 0, None]
+    assert [r.token for r in E.encode_single_token(df, encoding).collect()] == [e[b"hello"], 1, 0, 0, None]
     assert E.encode_single_piece(df, encoding).first().tokens == [e[b"hello"]]
     assert E.encode_bytes(df, encoding).collect()[2].tokens == []
     assert E.encode_bytes(df, encoding).collect()[3].tokens == [e[b"z"]] * 2
@@ -108,13 +112,13 @@ def test_bytes_pieces_and_single_tokens(spark, encoding):
 
 
 def test_decode(spark, encoding):
-    ids = [encoding.encoder[b"hello"], 2, 999_999, -1, 18 + 0xC3]
+    ids = [encoding.encoder[b"hello"], 1, 999_999, -1, BYTES + 0xC3]
     df = spark.createDataFrame([(ids,), ([],), (None,)], "t array<int>")
     assert [r[0] for r in df.select(decode(F.col("t"), encoding)).collect()] == ["hello<s>�", "", None]
     # the literal took these bytes; the byte token's own id has none left
     shadowed = Encoding(tuple(derived.base_tokens() + ["e"]), {})
-    one = spark.range(1).select(token_bytes(F.lit(18 + ord("e")), shadowed).alias("a"), token_bytes(F.lit(274), shadowed).alias("b")).first()
-    assert (bytes(one.a), bytes(one.b)) == (b"", b"e") and shadowed.decoder[18 + ord("e")] == b"e"
+    one = spark.range(1).select(token_bytes(F.lit(BYTES + ord("e")), shadowed).alias("a"), token_bytes(F.lit(BYTES + 256), shadowed).alias("b")).first()
+    assert (bytes(one.a), bytes(one.b)) == (b"", b"e") and shadowed.decoder[BYTES + ord("e")] == b"e"
 
 
 def test_vocabulary_rules(tmp_path):
@@ -214,3 +218,127 @@ def test_small_tables_are_dealt_out_and_large_ones_left(spark):
     assert spread(large) is large
     assert sorted(r.id for r in spread(small).collect()) == list(range(10))
     assert spread(small.limit(0)).count() == 0
+
+
+def test_encoding_with_null_keys_and_clashing_names(spark, encoding):
+    rows = [(n if n else None, t) for n, t in enumerate(TEXTS)]
+    names = ["_key", "_tokens", "_ids", "_values", "tokens", "ids", "pos", "piece", "id", "data", "known", "all", "key", "bytes", "_plain", "_special"]
+    df = spark.createDataFrame([(*r, *names) for r in rows], "k int, text string, " + ", ".join(f"{n} string" for n in names))
+    for plan in ("rows", "columns"):
+        got = E.encode_ordinary(df, encoding, plan=plan, key="k")
+        assert sorted(got.columns) == sorted(df.columns)
+        for r in got.collect():
+            assert r.tokens == (None if r.text is None else ordinary(r.text, encoding)), plan
+            assert all(r[n] == n for n in names if n != "tokens")
+    assert {(r.k, r._ids) for r in E.encode(df, encoding, "all").collect()} == {(k, "_ids") for k, _ in rows}
+    token = E.encode_single_token(df.withColumn("v", F.encode("text", "UTF-8")), encoding, "v")
+    assert {r._plain for r in token.collect()} == {"_plain"} and len(token.columns) == len(df.columns) + 2
+    assert E.encode_unstable(df, encoding).first()._tokens == "_tokens"
+    assert E.encode_ordinary(df.limit(0), encoding).count() == 0
+
+
+def test_special_tokens_against_python(spark, encoding):
+    """Quoted characters, allowed strings that are no tokens, and texts over several lines."""
+    texts = ["<s>a\nb</s>", "a.b|c<s><s>", "the (x)\\E[the", "", None, "\0<s>x", "x\0y<s>z", "🙂<pad>🙂", "</s></s>"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, text string")
+    for allowed in ("all", "<s>", ["</s>", "<s>"], ["."], ["|", "(x)"], ["\\E["], ["the", "<pad>"], ["🙂"]):
+        names = E.allowed_list(encoding, allowed)
+        split = re.compile("(" + "|".join(map(re.escape, names)) + ")")
+        for r in E.encode(df, encoding, allowed).collect():
+            want = None if r.text is None else [i for p in split.split(r.text) if p for i in ([encoding.specials[p]] if p in encoding.specials else ordinary(p, encoding))]
+            assert r.tokens == want, (allowed, r.text)
+
+
+def test_fallback_against_python_classes(spark, encoding):
+    pattern = re.compile(r"'s|'t|'re|'ve|'d|'ll|'m|[A-Za-z]+|\d+|\r?\n|\s+|[^\w\s]")
+    old = unicodedata.ucd_3_2_0  # what has not changed since is the same in all tables
+    same = [c for c in map(chr, range(0x3100)) if old.category(c) == unicodedata.category(c) != "Cn"]
+    texts = ["".join(same[i : i + 256]) for i in range(0, len(same), 256)] + ["don't WE'LL ½ ٣٤ x\u3000y 🙂🙂 日本 e\u0301", None, ""]
+    for r in E.fallback_encode(spark.createDataFrame([(t,) for t in texts], "text string"), encoding).collect():
+        want = None
+        if r.text is not None:
+            want = [i for p in pattern.findall(r.text) for i in ([encoding.encoder[p.encode()]] if p.encode() in encoding.encoder else [encoding.encoder.get(bytes([b]), 0) for b in p.encode()])]
+        assert r.tokens == want, r.text
+
+
+def test_patterns_that_do_not_compile(spark):
+    with pytest.warns(UserWarning, match="does not compile"):
+        assert X.usable_pattern(spark, "([") == X.FALLBACK_PATTERN
+    assert X.usable_pattern(spark, "[a-c]+") == "[a-c]+"
+    row = spark.range(1).select(X.pieces(F.lit("snake_case 12!? é"), X.FALLBACK_PATTERN).alias("p")).first()
+    assert row.p == ["snake", "_", "case", " ", "12", "!?", " ", "Ã©"]
+
+
+def test_addresses_are_tried_in_order(tmp_path):
+    (tmp_path / "bad").write_text("no json")
+    (tmp_path / "one").write_text('{"a": 0}')
+    (tmp_path / "two").write_text('{"b": 0}')
+    url = lambda name: (tmp_path / name).as_uri()
+    assert fetch_encoding(url("one")).encoder == {b"a": 0}
+    assert fetch_encoding([url("gone"), url("bad"), url("two"), url("one")]).encoder == {b"b": 0}
+    with pytest.raises(ValueError, match="no address"):
+        fetch_encoding([url("gone"), url("bad")])
+    with pytest.raises(ValueError):
+        fetch_encoding([])
+
+
+def test_tables_of_a_vocabulary(spark):
+    e = parse('{"<s>": 0, "a": 2, "bc": 5}')
+    assert [(r.id, r.token) for r in e.table(spark).orderBy("id").collect()] == [(0, "<s>"), (1, ""), (2, "a"), (3, ""), (4, ""), (5, "bc")]
+    assert sorted(bytes(r.bytes) for r in e.byte_values(spark).collect()) == [b"<s>", b"a", b"bc"]
+
+
+def test_long_lines_are_cut_by_bytes(spark, tmp_path):
+    rng = random.Random(1)
+    lines = [b"A" * n for n in (16381, 16382, 16383, 16384, 2 * 16383 - 1, 2 * 16383)] + ["é".encode() * 9000, b"x\0y", b"", b" ".join(bytes([rng.randint(97, 122)]) * 3 for _ in range(9000))]
+    (tmp_path / "in.txt").write_bytes(b"\n".join(lines) + b"\n")
+    want = []
+    for line in lines:
+        line += b"\n"
+        for i in range(0, len(line), 16383):  # as a buffer of 16,384 bytes is filled
+            part = line[i : i + 16383].removesuffix(b"\n").split(b"\0")[0].lower()
+            want.append("▁".encode().join(part.split()))
+    assert normalize_file(spark, str(tmp_path / "in.txt"), str(tmp_path / "out")) == len(want)
+    got = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert got == b"".join(w + b"\n" for w in want)
+
+
+def test_markers_as_observed(spark):
+    rows = ["a▁b", "a▁b▁", "▁", "", "▁▁", None, "ab"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    got = [tuple(r.s) for r in df.select(X.marker_stats(F.col("t"), observed=True).alias("s")).collect()]
+    size = lambda t: len(t.encode())
+    assert got == [(None, None, None) if t is None else (size(t), int(t.endswith("▁")), size(t) - 3 * t.endswith("▁")) for t in rows]
+    at = df.select(*[X.is_space_marker(F.col("t"), n).alias(f"a{n}") for n in (0, 1, 3)]).collect()
+    assert [tuple(r) for r in at[:3]] == [(False, False, False), (False, False, False), (True, False, False)]
+
+
+def test_completions(spark):
+    row = spark.range(1).select(X.add_completions(X.completions(), F.array(F.lit(1), F.lit(2)), F.array(F.lit(3))).alias("c"), X.completions().alias("none")).first()
+    assert row.c == [[1, 2], [3]] and row.none == []
+
+
+def test_places_and_prefixes(spark):
+    rng = random.Random(2)
+    tokens = sorted({bytes(rng.choice(b"ab\xff") for _ in range(rng.randint(0, 5))) for _ in range(200)})
+    table = spark.createDataFrame([(bytearray(t),) for t in rng.sample(tokens, len(tokens))], "bytes binary").repartition(3)
+    assert {bytes(r.bytes): r.place for r in subwords.sorted_tokens(table).collect()} == {t: n for n, t in enumerate(tokens)}
+    asked = [b"", b"a", b"\xff", b"ab", b"abab", b"zz", b"a" * 9]
+    found = subwords.find_prefix(table, spark.createDataFrame([(bytearray(p),) for p in asked], "prefix binary"))
+    assert {bytes(r.prefix): r.place for r in found.collect()} == {p: next((n for n, t in enumerate(tokens) if t.startswith(p)), None) for p in asked}
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([("un", 5, 2), ("un", 9, 1)], "token string, freq int, seq int")
+    base = spark.createDataFrame([("un", 1)], "token string, freq int")
+    assert subwords.update_frequency(base, rows, "seq").first().freq == 5
+
+
+def test_sql_names_with_a_vocabulary(spark, encoding):
+    assert len(S.register(spark, encoding)) == 18
+    spark.createDataFrame([(n, t) for n, t in enumerate(TEXTS)], "n int, t string").createOrReplaceTempView("loom_texts")
+    for r in spark.sql("SELECT n, loom_encode(t) AS ids, loom_token_count(t) AS k, loom_decode(loom_encode(t)) AS back, loom_merge(encode(t, 'UTF-8')) AS m FROM loom_texts").collect():
+        t = TEXTS[r.n]
+        assert r.ids == (None if t is None else ordinary(t, encoding))
+        if t is not None:
+            assert r.k == len(r.ids) and r.back == t.split("\0")[0].replace("_", "") and r.m == merged(t.encode(), encoding)
+    one = spark.sql("SELECT loom_token_bytes(1) AS a, loom_token_bytes(-1) AS b, loom_decode_bytes(array(1, 99999)) AS c, loom_encode_piece(CAST('hello' AS BINARY)) AS d, loom_encode_bytes(CAST('zz' AS BINARY)) AS e").first()
+    assert (bytes(one.a), bytes(one.b), bytes(one.c)) == (b"<s>", b"", b"<s>") and one.d == [encoding.encoder[b"hello"]] and len(one.e) == 2

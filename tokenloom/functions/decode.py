@@ -2,39 +2,34 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tokenloom.sources.vocab import Encoding
 
 
-def _pool(encoding: Encoding) -> tuple[Column, Column, int]:
-    """All token bytes in one literal, and for each id its place and length in another."""
+def _texts(encoding: Encoding) -> tuple[Column, int]:
+    """The bytes of each id, a character a byte, as a constant array; and its size."""
     size = max(encoding.decodable, default=-1) + 1
-    index, pool = bytearray(), bytearray()
-    for i in range(size):
-        raw = encoding.decodable.get(i, b"")
-        index += len(pool).to_bytes(4, "big") + len(raw).to_bytes(2, "big")
-        pool += raw
-    return F.lit(bytes(index)), F.lit(bytes(pool)), size
+    each = [encoding.decodable.get(i, b"").decode("latin-1") for i in range(size)]
+    return F.from_json(F.lit(json.dumps(each)), "array<string>"), size
 
 
-def token_bytes(token: Column, encoding: Encoding) -> Column:
-    """The bytes of an id; none for an unknown one. Ids wrap to unsigned 32 bits."""
-    index, pool, size = _pool(encoding)
-    return _bytes_of(token, index, pool, size)
+def _text_of(token: Column, texts: Column, size: int) -> Column:
+    i = F.pmod(token.cast("bigint"), F.lit(1 << 32))
+    return F.coalesce(F.get(texts, F.when(i < size, i).otherwise(-1).cast("int")), F.lit(""))
 
 
-def _bytes_of(token: Column, index: Column, pool: Column, size: int) -> Column:
-    i = F.pmod(token.cast("bigint"), F.lit(1 << 32))
-    number = lambda start, n: F.conv(F.hex(F.substring(index, (i * 6).cast("int") + start, F.lit(n))), 16, 10).cast("int")
-    return F.when(i < size, F.substring(pool, number(1, 4) + 1, number(5, 2))).otherwise(F.lit(b""))
+def token_bytes(token: Column, encoding: Encoding) -> Column:
+    """The bytes of an id; none for an unknown one. Ids wrap to unsigned 32 bits."""
+    return F.encode(_text_of(token, *_texts(encoding)), "ISO-8859-1")
 
 
 def decode_bytes(tokens: Column, encoding: Encoding) -> Column:
-    index, pool, size = _pool(encoding)
-    code = F.array_join(F.transform(tokens, lambda t: F.hex(_bytes_of(t, index, pool, size))), "")
-    return F.unhex(code)
+    texts, size = _texts(encoding)
+    return F.encode(F.array_join(F.transform(tokens, lambda t: _text_of(t, texts, size)), ""), "ISO-8859-1")
 
 
 def decode(tokens: Column, encoding: Encoding) -> Column:

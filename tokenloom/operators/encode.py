@@ -1,16 +1,21 @@
 """Encoding: texts, byte strings and single tokens to ids.
 
-``encode_ordinary`` has two plans with equal results. ``rows`` runs each Arrow
-batch through a cache of distinct pieces in the Python worker: no shuffle, any
-key, batch or stream. ``columns`` stays in the JVM: pieces are exploded, each
-distinct piece is looked up and merged once, and the ids are gathered by key.
+Texts are cut into pieces by columns; a piece is a string with one character a
+byte. ``encode_ordinary`` has two plans with equal results. ``rows`` hands each
+Arrow batch of pieces to a Python worker, which codes the batch's distinct pieces
+and gathers their ids by offsets: no loop over rows, no shuffle, any key, batch or
+stream. ``columns`` stays in the JVM: pieces are exploded, each distinct piece is
+looked up and merged once, and the ids are gathered by key.
+
+A result column replaces one of its name. A null value gives a null.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +23,13 @@ from pyspark.sql import types as T
 
 from tokenloom.functions import merge
 from tokenloom.functions import text as X
+from tokenloom.names import unused
 from tokenloom.sources.vocab import Encoding
 
 #: Distinct pieces that a worker remembers before it starts anew.
 CACHE_PIECES = 200_000
-
-_PYTHON_PATTERN = re.compile(X.PATTERN.encode("latin-1").replace(rb"\x0B", b"\x0b"))
+#: Before the name of a special token among pieces, which have no such character.
+SPECIAL = "\ue000"
 
 
 class PieceCoder:
@@ -31,18 +37,18 @@ class PieceCoder:
 
     def __init__(self, encoding: Encoding):
         self.encoder, self.byte_ids, self.pairs = encoding.encoder, encoding.byte_ids, encoding.pair_table
+        self.specials = encoding.specials
         self.known: dict[bytes, list[int]] = {}
 
+    def spelled(self, data: bytes) -> list[int]:
+        return [self.byte_ids[b] for b in data]
+
     def merged(self, data: bytes) -> list[int]:
         if len(data) < 2:
-            return [self.byte_ids[b] for b in data]
+            return self.spelled(data)
         starts = merge.merged_starts(data, self.pairs)
-        out: list[int] = []
-        for i, j in zip(starts, [*starts[1:], len(data)]):
-            part = data[i:j]
-            found = self.encoder.get(part)
-            out += [found] if found is not None else [self.byte_ids[b] for b in part]
-        return out
+        parts = [data[i:j] for i, j in zip(starts, [*starts[1:], len(data)])]
+        return [i for p in parts for i in ([self.encoder[p]] if p in self.encoder else self.spelled(p))]
 
     def piece(self, data: bytes) -> list[int]:
         found = self.known.get(data)
@@ -54,63 +60,84 @@ class PieceCoder:
             self.known[data] = found
         return found
 
-    def ordinary(self, raw: bytes) -> list[int]:
-        piece = self.piece
-        return [i for p in _PYTHON_PATTERN.findall(raw.partition(b"\0")[0]) for i in piece(p)]
+    def whole_or_spelled(self, data: bytes) -> list[int]:
+        whole = self.encoder.get(data)
+        return [whole] if whole is not None else self.spelled(data)
+
+    def marked(self, piece: str) -> list[int]:
+        return [self.specials[piece[1:]]] if piece[:1] == SPECIAL else self.piece(piece.encode("latin-1"))
 
 
-def _per_row(df: DataFrame, out: str, encoding: Encoding, source: str, ids_of) -> DataFrame:
-    """``df`` with an array of ids made from one column; a null gives a null."""
-    if out in df.columns:
-        raise ValueError(f"there is a column {out} already")
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False))])
+def _gathered(df: DataFrame, out: str, encoding: Encoding, values: Column, ids_of: Callable[[PieceCoder, str | bytes], list[int]]) -> DataFrame:
+    """``df`` with the ids of a column of values, or of lists of them: one after the other for each row."""
+    others = [c for c in df.columns if c.lower() != out.lower()]
+    (extra,) = unused(df, "_values")
+    given = df.select(*[df[c] for c in others], values.alias(extra))
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField(out, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceCoder(encoding)
         for batch in batches:
-            made = [None if v is None else ids_of(coder, v) for v in batch.column(source).cast(pa.binary()).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(made, pa.list_(pa.int32()))], names=[*batch.schema.names, out])
-
-    return df.mapInArrow(run, schema)
+            column = batch.column(len(others))
+            lists = pa.types.is_list(column.type)
+            each = column.flatten() if lists else column
+            coded = each.dictionary_encode()
+            found = [ids_of(coder, v) for v in coded.dictionary.to_pylist()]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            pool = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
+            at = coded.indices.fill_null(len(found)).to_numpy(zero_copy_only=False)  # a null value has no ids
+            size, start = np.append(size, 0), np.append(np.cumsum(size) - size, 0)
+            lengths = size[at]
+            ends = np.cumsum(lengths)
+            ids = pool[np.repeat(start[at] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+            bounds = np.concatenate(([0], ends))
+            if lists:
+                offsets = column.offsets.to_numpy()
+                bounds = bounds[offsets - offsets[0]]
+            made = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=column.is_null() if column.null_count else None)
+            yield pa.record_batch([*batch.columns[: len(others)], made], names=schema.names)
+
+    return given.mapInArrow(run, schema)
 
 
 def encode_ordinary(df: DataFrame, encoding: Encoding, text: str = "text", out: str = "tokens", plan: str = "rows", key: str | None = None) -> DataFrame:
-    """``df`` with the ids of its texts. The plan ``columns`` needs a unique ``key``."""
+    """``df`` with the ids of its texts. The plan ``columns`` needs a unique ``key``; one null counts as a key."""
     if plan == "rows":
-        return _per_row(df, out, encoding, text, PieceCoder.ordinary)
+        return _gathered(df, out, encoding, X.pieces(df[text]), PieceCoder.marked)
     if plan != "columns" or key is None:
         raise ValueError("plan is rows, or columns with a key")
     spark = df.sparkSession
-    vocab = F.broadcast(encoding.encoder_table(spark).select(F.col("bytes").alias("_bytes"), F.col("id").alias("_id")))
-    exploded = df.select(F.col(key).alias("_key"), F.posexplode(X.pieces(F.col(text))).alias("_pos", "_piece"))
-    found = exploded.join(vocab, X.piece_bytes(F.col("_piece")) == F.col("_bytes"), "left").select("_key", "_pos", "_piece", "_id")
-    missing = found.filter("_id IS NULL")
-    worked = encode_pieces(missing.select(X.piece_bytes(F.col("_piece")).alias("_data")).distinct(), encoding, "_data", "_ids")
-    hits = found.filter("_id IS NOT NULL").select("_key", "_pos", F.array("_id").alias("_ids"))
-    merged = missing.join(worked, X.piece_bytes(F.col("_piece")) == F.col("_data")).select("_key", "_pos", "_ids")
-    lists = hits.unionByName(merged).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_pos", "_ids"))).alias("_all"))
-    lists = lists.select("_key", F.flatten(F.transform("_all", lambda x: x["_ids"])).alias("_tokens"))
-    joined = df.join(lists, F.col(key) == F.col("_key"), "left")
-    empty = F.when(F.col(text).isNull(), F.lit(None)).otherwise(F.array().cast("array<int>"))
-    return joined.withColumn(out, F.coalesce("_tokens", empty)).drop("_key", "_tokens")
+    own_key, ids = unused(df, "_key", "_ids")
+    pieces = df.select(df[key].alias("key"), F.posexplode(X.pieces(df[text])).alias("pos", "piece"))
+    vocab = encoding.lookup(spark).select(F.col("bytes").alias("known"), F.col("id"))
+    found = pieces.join(vocab, X.piece_bytes(F.col("piece")) == F.col("known"), "left")
+    missing = found.filter("id IS NULL").select("key", "pos", X.piece_bytes(F.col("piece")).alias("data"))
+    hits = found.filter("id IS NOT NULL").select("key", "pos", F.array("id").alias("ids"))
+    merged = missing.join(encode_pieces(missing.select("data").distinct(), encoding, "data", "ids"), "data").select("key", "pos", "ids")
+    lists = hits.unionByName(merged).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("all"))
+    lists = lists.select(F.col("key").alias(own_key), F.flatten(F.transform("all", lambda x: x["ids"])).alias(ids))
+    joined = df.join(lists, df[key].eqNullSafe(lists[own_key]), "left")
+    none = F.when(df[text].isNotNull(), F.array().cast("array<int>"))
+    return joined.select(*[df[c] for c in df.columns if c.lower() != out.lower()], F.coalesce(lists[ids], none).alias(out))
 
 
 def encode_pieces(distinct: DataFrame, encoding: Encoding, data: str, out: str) -> DataFrame:
     """Merging for a table of distinct BINARY pieces, without a lookup of the whole piece."""
     spark = distinct.sparkSession
-    vocab = F.broadcast(encoding.encoder_table(spark).select(F.col("bytes").alias("_part_bytes"), F.col("id").alias("_part_id")))
-    col, size = F.col(data), F.octet_length(data)
+    vocab = encoding.lookup(spark).select(F.col("bytes").alias("known"), F.col("id"))
+    col, size = F.col("data"), F.octet_length("data")
+    distinct = distinct.select(F.col(data).alias("data"))
     short = F.when((size > 1) & (size <= merge.SHORT), merge.first_byte_merge(col, encoding))
-    distinct = distinct.withColumn("_long", merge.long_merge(encoding)(F.when(size > merge.SHORT, col)))
-    starts = F.when(size > merge.SHORT, F.col("_long")).when(size > 1, short).when(size == 1, F.array(F.lit(0)))
-    split = distinct.select(data, F.posexplode(merge.parts(col, starts)).alias("_k", "_part"))
-    coded = split.join(vocab, F.col("_part") == F.col("_part_bytes"), "left")
+    distinct = distinct.withColumn("long", merge.long_merge(encoding)(F.when(size > merge.SHORT, col)))
+    starts = F.when(size > merge.SHORT, F.col("long")).when(size > 1, short).when(size == 1, F.array(F.lit(0)))
+    split = distinct.select("data", F.posexplode(merge.parts(col, starts)).alias("k", "part"))
+    coded = split.join(vocab, F.col("part") == F.col("known"), "left")
     ids = F.array(*map(F.lit, encoding.byte_ids))
-    code = F.hex("_part")
-    singles = F.transform(F.sequence(F.lit(0), F.octet_length("_part") - 1), lambda i: F.get(ids, F.conv(F.substring(code, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
-    coded = coded.select(data, "_k", F.when(F.col("_part_id").isNotNull(), F.array("_part_id")).otherwise(singles).alias("_ids"))
-    gathered = coded.groupBy(data).agg(F.array_sort(F.collect_list(F.struct("_k", "_ids"))).alias("_all"))
-    return gathered.select(data, F.flatten(F.transform("_all", lambda x: x["_ids"])).alias(out))
+    code = F.hex("part")
+    singles = F.transform(F.sequence(F.lit(0), F.octet_length("part") - 1), lambda i: F.get(ids, F.conv(F.substring(code, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
+    coded = coded.select("data", "k", F.when(F.col("id").isNotNull(), F.array("id")).otherwise(singles).alias("ids"))
+    gathered = coded.groupBy("data").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("all"))
+    return gathered.select(F.col("data").alias(data), F.flatten(F.transform("all", lambda x: x["ids"])).alias(out))
 
 
 def allowed_list(encoding: Encoding, allowed: str | Sequence[str] | None) -> list[str]:
@@ -121,6 +148,14 @@ def allowed_list(encoding: Encoding, allowed: str | Sequence[str] | None) -> lis
     return list(allowed)
 
 
+def special_pieces(text: Column, encoding: Encoding, names: Sequence[str]) -> Column:
+    """Pieces between the allowed strings, and marked names of special tokens."""
+    quoted = "|".join("\\Q" + n.replace("\\E", "\\E\\\\E\\Q") + "\\E" for n in names if n)
+    parts = F.regexp_extract_all(text, F.lit(f"(?s){quoted}|(?:(?!{quoted}).)+"), F.lit(0))
+    known = F.array(*map(F.lit, encoding.specials)) if encoding.specials else F.array().cast("array<string>")
+    return F.flatten(F.transform(parts, lambda p: F.when(F.array_contains(known, p), F.array(F.concat(F.lit(SPECIAL), p))).otherwise(X.pieces(p))))
+
+
 def encode(df: DataFrame, encoding: Encoding, allowed: str | Sequence[str] | None = None, text: str = "text", out: str = "tokens") -> DataFrame:
     """Texts with special tokens: None, "all", one, or a list in order of preference.
 
@@ -130,71 +165,47 @@ def encode(df: DataFrame, encoding: Encoding, allowed: str | Sequence[str] | Non
     names = allowed_list(encoding, allowed)
     if not any(names):
         return encode_ordinary(df, encoding, text, out)
-    split = re.compile("(" + "|".join(map(re.escape, names)) + ")")
-    specials = encoding.specials
-
-    def ids(coder: PieceCoder, raw: bytes) -> list[int]:
-        found: list[int] = []
-        for part in split.split(raw.decode("utf-8", "replace")):
-            if part in specials:
-                found.append(specials[part])
-            elif part:
-                found += coder.ordinary(part.encode())
-        return found
-
-    return _per_row(df, out, encoding, text, ids)
+    return _gathered(df, out, encoding, special_pieces(df[text], encoding, names), PieceCoder.marked)
 
 
 def encode_bytes(df: DataFrame, encoding: Encoding, data: str = "data", out: str = "tokens") -> DataFrame:
     """Whole BINARY values, merged without pre-tokenization or lookup of the whole."""
-    return _per_row(df, out, encoding, data, PieceCoder.merged)
+    return _gathered(df, out, encoding, df[data].cast("binary"), PieceCoder.merged)
 
 
 def encode_single_piece(df: DataFrame, encoding: Encoding, data: str = "data", out: str = "tokens") -> DataFrame:
     """The id of the whole value if it is a token, else its merged parts."""
-    return _per_row(df, out, encoding, data, PieceCoder.piece)
+    return _gathered(df, out, encoding, df[data].cast("binary"), PieceCoder.piece)
 
 
 def encode_single_token(df: DataFrame, encoding: Encoding, data: str = "data", out: str = "token") -> DataFrame:
     """The id of a token or special token by its bytes; 0 if there is none."""
     spark = df.sparkSession
-    plain = F.broadcast(encoding.encoder_table(spark).select(F.col("bytes").alias("_plain"), F.col("id").alias("_plain_id")))
-    special = F.broadcast(encoding.special_table(spark).select(F.encode("token", "UTF-8").alias("_special"), F.col("id").alias("_special_id")))
-    value = F.col(data).cast("binary")
-    joined = df.join(plain, value == F.col("_plain"), "left").join(special, value == F.col("_special"), "left")
-    found = F.when(value.isNotNull(), F.coalesce("_plain_id", "_special_id", F.lit(0)))
-    return joined.withColumn(out, found).drop("_plain", "_plain_id", "_special", "_special_id")
+    names = unused(df, "_plain", "_plain_id", "_special", "_special_id")
+    plain = encoding.lookup(spark).toDF(*names[:2])
+    special = F.broadcast(encoding.special_table(spark).select(F.encode("token", "UTF-8").alias(names[2]), F.col("id").alias(names[3])))
+    value = df[data].cast("binary")
+    joined = df.join(plain, value == plain[names[0]], "left").join(special, value == special[names[2]], "left")
+    found = F.when(value.isNotNull(), F.coalesce(plain[names[1]], special[names[3]], F.lit(0)))
+    return joined.select(*[df[c] for c in df.columns if c.lower() != out.lower()], found.alias(out))
 
 
 def encode_unstable(df: DataFrame, encoding: Encoding, allowed: str | Sequence[str] | None = None, text: str = "text", out: str = "unstable", observed: bool = False) -> DataFrame:
     """struct(tokens, completions). Completions are always empty; ``observed`` leaves the tokens out too."""
     none = F.array().cast("array<int>")
-    completions = F.array().cast("array<array<int>>").alias("completions")
+    completions = X.completions().alias("completions")
     if observed:
         return df.withColumn(out, F.struct(none.alias("tokens"), completions))
-    coded = encode(df, encoding, allowed, text, "_tokens")
-    return coded.withColumn(out, F.struct(F.col("_tokens").alias("tokens"), completions)).drop("_tokens")
+    (ids,) = unused(df, "_tokens")
+    return encode(df, encoding, allowed, text, ids).withColumn(out, F.struct(F.col(ids).alias("tokens"), completions)).drop(ids)
 
 
 encode_with_unstable = encode_unstable
 
-_UNICODE_PATTERN = re.compile(r"'s|'t|'re|'ve|'d|'ll|'m|[A-Za-z]+|\d+|\r?\n|\s+|[^\w\s]")
-
 
 def fallback_encode(df: DataFrame, encoding: Encoding, text: str = "text", out: str = "tokens") -> DataFrame:
     """Unicode classes, whole pieces, and single bytes for the others; nothing is merged."""
-    encoder = encoding.encoder
-    single = {b[0]: i for i, b in sorted(encoding.decoder.items()) if len(b) == 1}
-
-    def ids(coder: PieceCoder, raw: bytes) -> list[int]:
-        found: list[int] = []
-        for piece in _UNICODE_PATTERN.findall(raw.decode("utf-8", "replace")):
-            data = piece.encode()
-            whole = encoder.get(data)
-            found += [whole] if whole is not None else [single.get(b, 0) for b in data]
-        return found
-
-    return _per_row(df, out, encoding, text, ids)
+    return _gathered(df, out, encoding, X.unicode_pieces(df[text]), lambda coder, piece: coder.whole_or_spelled(piece.encode()))
 
 
 def flat(df: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:

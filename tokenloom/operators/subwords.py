@@ -40,10 +40,10 @@ def remove(table: DataFrame, tokens: DataFrame) -> DataFrame:
     return table.join(tokens, "token", "left_anti")
 
 
-def update_frequency(table: DataFrame, rows: DataFrame) -> DataFrame:
-    """New frequencies of tokens that are there; others, and negative ones, change nothing."""
-    new = rows.filter(F.col("freq") >= 0).groupBy("token").agg(F.max("freq").alias("_new"))
-    return table.join(new, "token", "left").select("token", F.coalesce("_new", "freq").alias("freq"))
+def update_frequency(table: DataFrame, rows: DataFrame, order: str | None = None) -> DataFrame:
+    """New frequencies of tokens that are there; others, and negative ones, change nothing. Of several, the last by ``order`` wins."""
+    new = rows.filter(F.col("freq") >= 0).groupBy("token").agg(F.max_by("freq", F.col(order or "freq")).alias("new"))
+    return table.join(new, "token", "left").select("token", F.coalesce(new["new"], table["freq"]).alias("freq"))
 
 
 def listing(table: DataFrame) -> DataFrame:
@@ -53,14 +53,25 @@ def listing(table: DataFrame) -> DataFrame:
 
 
 def sorted_tokens(table: DataFrame, data: str = "bytes") -> DataFrame:
-    """BINARY tokens in byte order with their place; for vocabularies, which are small."""
-    return table.select(data, (F.row_number().over(Window.orderBy(data)) - 1).alias("place"))
+    """BINARY tokens in byte order with their place from 0.
+
+    Places are counted within groups by the first two bytes, and the groups, at
+    most 65,793 of them, are counted before.
+    """
+    raw = F.col(data).cast("binary")
+    rows = table.select(raw.alias(data), F.substring(raw, 1, 2).alias("head"))
+    heads = rows.groupBy("head").agg(F.count("*").alias("n"))
+    before = heads.select("head", (F.sum("n").over(Window.orderBy("head")) - F.col("n")).alias("before"))
+    within = rows.withColumn("nth", F.row_number().over(Window.partitionBy("head").orderBy(data)))
+    return within.join(F.broadcast(before), "head").select(data, (F.col("before") + F.col("nth") - 1).alias("place"))
 
 
 def find_prefix(table: DataFrame, prefixes: DataFrame, data: str = "bytes", prefix: str = "prefix") -> DataFrame:
-    """The first place in byte order of a token with each prefix, or null."""
-    placed = F.broadcast(sorted_tokens(table, data))
-    code = F.hex(data)
-    asked = prefixes.select(prefix).distinct()
-    found = asked.join(placed, code.startswith(F.hex(prefix))).groupBy(prefix).agg(F.min("place").alias("place"))
-    return prefixes.join(found, prefix, "left")
+    """The first place in byte order of a token with each prefix, or null. Each token is taken under its own prefixes, as far as any is asked."""
+    asked = prefixes.select(F.col(prefix).cast("binary").alias("asked")).distinct()
+    longest = asked.agg(F.max(F.octet_length("asked"))).first()[0] or 0
+    raw = F.col(data)
+    sizes = F.sequence(F.lit(0), F.least(F.octet_length(raw), F.lit(longest)))
+    under = sorted_tokens(table, data).select(F.explode(F.transform(sizes, lambda n: F.substring(raw, F.lit(1), n))).alias("asked"), "place")
+    first = under.groupBy("asked").agg(F.min("place").alias("place"))
+    return prefixes.join(asked.join(first, "asked"), prefixes[prefix].cast("binary") == F.col("asked"), "left").drop("asked")

@@ -1,7 +1,8 @@
 """A small vocabulary that follows from ``documents``, so that SQL can build the same.
 
-Ids 0-17 are special tokens, 18-273 the bytes, then the most frequent letter
-pairs and the most frequent words of ASCII letters; ties go to the smaller text.
+Special tokens come first, then the bytes, the most frequent letter pairs and the
+most frequent words of ASCII letters; ties go to the smaller text. Ids of pairs
+that there are not enough of are holes.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from tokenloom.operators.stats import piece_counts
 from tokenloom.sources.tables import table
 from tokenloom.sources.vocab import Encoding
 
-# The special tokens, in the order of their ids.
-SPECIALS = ["<pad>", "<unk>", "<s>", "</s>", "<sep>", "<cls>", "<mask>", "<nl>", "<tab>", "<space>", "<user>", "<assistant>", "<system>", "<eot>", "<code>", "<image>", "<doc>", "<title>"]
-BYTES_FROM, PAIRS_FROM, PAIRS, WORDS = 18, 274, 400, 1500
+#: The special tokens, in the order of their ids.
+SPECIALS = ["<pad>", "<s>", "</s>", "<system>", "<user>", "<assistant>", "<tool>", "<eot>"]
+PAIRS, WORDS = 400, 1500
 
 
 def base_tokens() -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from tokenloom.functions import hashing as H
@@ -58,7 +60,7 @@ def whole_piece_lookup(spark, sf_dir):
 def first_byte_merge(spark, sf_dir):
     e = derived.of(spark, sf_dir)
     size = F.octet_length("data")
-    words = stats.piece_counts(table(spark, sf_dir, "documents")).select(X.piece_bytes(F.col("piece")).alias("data")).filter(size > 1)
+    words = stats.piece_counts(table(spark, sf_dir, "documents")).select(X.piece_bytes(F.col("piece")).alias("data"))
     words = words.withColumn("long", M.long_merge(e)(F.when(size > M.SHORT, F.col("data"))))
     starts = F.when(size > M.SHORT, F.col("long")).otherwise(M.first_byte_merge(F.col("data"), e))
     return words.select(F.hex("data").alias("hx"), F.array_join(F.transform(M.parts(F.col("data"), starts), F.hex), " ").alias("parts"))
@@ -80,13 +82,32 @@ def tokens_by_lang(spark, sf_dir):
 
 
 def encode_special_chat(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("<"), "role", F.lit(">"), "text", F.lit("<eot>")).alias("text"))
-    return E.encode(turns, derived.of(spark, sf_dir), "all").select("conv_id", "turn", _joined())
+    return E.encode(_turns(spark, sf_dir), derived.of(spark, sf_dir), "all").select("conv_id", "turn", _joined())
+
+
+def _turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("<"), "role", F.lit(">"), "text", F.lit("<eot>")).alias("text"))
+
 
+def encode_allowed_one(spark, sf_dir):
+    return E.encode(_turns(spark, sf_dir), derived.of(spark, sf_dir), "<user>").select("conv_id", "turn", _joined())
 
-def _benchmark_words(spark, sf_dir):
-    words = stats.piece_counts(table(spark, sf_dir, "benchmark"))
-    return words.select(X.piece_bytes(F.col("piece")).alias("data"))
+
+def encode_allowed_list(spark, sf_dir):
+    """The second one is no special token: the text is split there too."""
+    return E.encode(_turns(spark, sf_dir), derived.of(spark, sf_dir), ["<eot>", "the"]).select("conv_id", "turn", _joined())
+
+
+def completion_sets(spark, sf_dir):
+    e = derived.of(spark, sf_dir)
+    coded = E.encode(_turns(spark, sf_dir), e, "all")
+    found = X.add_completions(X.completions(F.col("tokens")), F.array(F.lit(e.specials["<eot>"])))
+    ids = F.transform(found, lambda c: F.array_join(F.transform(c, lambda t: t.cast("string")), " "))
+    return coded.select("conv_id", "turn", F.array_join(ids, "|").alias("completions"))
+
+
+def _words(spark, sf_dir):
+    return stats.piece_counts(table(spark, sf_dir, "documents")).select(X.piece_bytes(F.col("piece")).alias("data"))
 
 
 def encode_bytes(spark, sf_dir):
@@ -95,23 +116,39 @@ def encode_bytes(spark, sf_dir):
 
 
 def encode_single_piece(spark, sf_dir):
-    return E.encode_single_piece(_benchmark_words(spark, sf_dir), derived.of(spark, sf_dir)).select(F.hex("data").alias("hx"), _joined())
+    return E.encode_single_piece(_words(spark, sf_dir), derived.of(spark, sf_dir)).select(F.hex("data").alias("hx"), _joined())
 
 
 def encode_single_token(spark, sf_dir):
     e = derived.of(spark, sf_dir)
-    asked = _benchmark_words(spark, sf_dir).unionByName(e.special_table(spark).select(F.encode("token", "UTF-8").alias("data")))
+    asked = _words(spark, sf_dir).unionByName(e.special_table(spark).select(F.encode("token", "UTF-8").alias("data")))
     return E.encode_single_token(asked, e).select(F.hex("data").alias("hx"), F.col("token").cast("long").alias("token"))
 
 
 def encode_unstable(spark, sf_dir):
-    e = derived.of(spark, sf_dir)
-    rows = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return E.encode_unstable(rows, e).select("item_id", F.size("unstable.tokens").cast("long").alias("n_tokens"), F.size("unstable.completions").cast("long").alias("n_completions"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return E.encode_unstable(rows, derived.of(spark, sf_dir)).select("doc_id", _joined("unstable.tokens"), F.size("unstable.completions").cast("long").alias("n_completions"))
 
 
 def fallback_encode(spark, sf_dir):
-    return E.fallback_encode(table(spark, sf_dir, "benchmark").select("item_id", "text"), derived.of(spark, sf_dir)).select("item_id", _joined())
+    return E.fallback_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), derived.of(spark, sf_dir)).select("doc_id", _joined())
+
+
+def pretokenize_fallback(spark, sf_dir):
+    """With a pattern that does not compile."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        pattern = X.usable_pattern(spark, "([A-Z")
+    cut = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.pieces(F.col("text"), pattern)).alias("pos", "piece"))
+    return cut.select("doc_id", F.col("pos").cast("long").alias("pos"), _hex(F.col("piece")).alias("hx"))
+
+
+def all_token_bytes(spark, sf_dir):
+    return derived.of(spark, sf_dir).byte_values(spark).select(F.hex("bytes").alias("hx"))
+
+
+def vocab_listing(spark, sf_dir):
+    return derived.of(spark, sf_dir).table(spark).select(F.col("id").cast("long").alias("id"), "token")
 
 
 def decode_roundtrip(spark, sf_dir):
@@ -143,8 +180,13 @@ def normalize_stats(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.col("s.length").cast("long").alias("length"), F.col("s.markers").cast("long").alias("markers"), F.col("s.characters").cast("long").alias("characters"))
 
 
+def normalize_stats_observed(spark, sf_dir):
+    s = X.marker_stats(X.normalize_text(F.col("text")), observed=True)
+    return table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", *[F.col(f"s.{c}").cast("long").alias(c) for c in ("length", "markers", "characters")])
+
+
 def normalize_line(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.hex(X.normalize_line(F.col("text"), 64)).alias("hx"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.hex(X.normalize_line(F.col("text"), 16_384)).cast("binary")).alias("line_md5"))
 
 
 def _hash(function):
@@ -175,12 +217,12 @@ def heap_hash_buckets(spark, sf_dir):
 
 
 def _trie(spark, sf_dir):
-    counted = stats.piece_counts(table(spark, sf_dir, "benchmark")).filter(F.col("piece").rlike("^[A-Za-z]+$"))
+    counted = stats.piece_counts(table(spark, sf_dir, "benchmark"))
     return subwords.insert(None, counted.select(F.col("piece").alias("token"), F.col("n").alias("freq")))
 
 
 def _asked(spark, sf_dir):
-    counted = stats.piece_counts(table(spark, sf_dir, "documents")).filter(F.col("piece").rlike("^[A-Za-z]+$"))
+    counted = stats.piece_counts(table(spark, sf_dir, "documents"))
     return counted.select(F.col("piece").alias("token"))
 
 
@@ -216,23 +258,38 @@ def sorted_tokens(spark, sf_dir):
 
 def prefix_search(spark, sf_dir):
     e = derived.of(spark, sf_dir)
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.encode(F.substring("text", 1, 3), "UTF-8").alias("prefix"))
-    return subwords.find_prefix(e.encoder_table(spark), asked).select("item_id", F.coalesce("place", F.lit(-1)).cast("long").alias("place"))
+    asked = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.substring("text", 1, 3), "UTF-8").alias("prefix"))
+    return subwords.find_prefix(e.encoder_table(spark), asked).select("doc_id", F.coalesce("place", F.lit(-1)).cast("long").alias("place"))
 
 
 def sql_functions(spark, sf_dir):
     S.register(spark)
-    table(spark, sf_dir, "benchmark").createOrReplaceTempView("loom_benchmark")
-    return spark.sql("SELECT item_id, CAST(size(loom_pieces(text)) AS BIGINT) AS pieces, octet_length(loom_normalize(text)) + 0L AS normalized, loom_fnv1a(encode(text, 'UTF-8')) AS fnv1a FROM loom_benchmark")
+    table(spark, sf_dir, "documents").createOrReplaceTempView("loom_documents")
+    return spark.sql("SELECT doc_id, CAST(size(loom_pieces(text)) AS BIGINT) AS pieces, md5(CAST(loom_normalize(text) AS BINARY)) AS normalized_md5 FROM loom_documents")
+
+
+def sql_hashes(spark, sf_dir):
+    S.register(spark)
+    table(spark, sf_dir, "customer").createOrReplaceTempView("loom_customer")
+    name = "encode(c_name, 'UTF-8')"
+    hashes = ", ".join(f"loom_{h}({name}) AS {h}" for h in ("djb2", "fnv1a", "sdbm", "murmur3"))
+    return spark.sql(f"SELECT c_custkey, {hashes}, loom_int_hash(c_custkey) AS int_hash, loom_cache_hash(c_custkey, 64) AS cache_hash, loom_heap_hash({name}, 64) AS heap_hash FROM loom_customer")
+
+
+def sql_encoding(spark, sf_dir):
+    S.register(spark, derived.of(spark, sf_dir))
+    table(spark, sf_dir, "documents").createOrReplaceTempView("loom_documents")
+    ids = "array_join(transform(tokens, t -> CAST(t AS STRING)), ' ') AS ids"
+    return spark.sql(f"SELECT doc_id, {ids}, CAST(size(tokens) AS BIGINT) AS n_tokens, md5(encode(loom_decode(tokens), 'UTF-8')) AS decoded_md5 FROM (SELECT doc_id, loom_encode(text) AS tokens FROM loom_documents)")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         vocab_facts, special_tokens, vocab_table, pretokenize, piece_counts, piece_top_k, whole_piece_lookup, first_byte_merge, encode_ordinary, encode_ordinary_rows,
-        tokens_by_lang, encode_special_chat, encode_bytes, encode_single_piece, encode_single_token, encode_unstable, fallback_encode, decode_roundtrip, decode_single_token,
-        token_frequency_topk, compare_encodings, normalize_text, normalize_stats, normalize_line, hash_int, cache_hash_buckets, heap_hash_buckets,
-        trie_list, trie_count, trie_search, trie_contains, trie_remove, trie_update, sorted_tokens, prefix_search, sql_functions,
+        tokens_by_lang, encode_special_chat, encode_allowed_one, encode_allowed_list, completion_sets, encode_bytes, encode_single_piece, encode_single_token, encode_unstable, fallback_encode, decode_roundtrip, decode_single_token,
+        token_frequency_topk, compare_encodings, normalize_text, normalize_stats, normalize_stats_observed, normalize_line, hash_int, cache_hash_buckets, heap_hash_buckets,
+        trie_list, trie_count, trie_search, trie_contains, trie_remove, trie_update, sorted_tokens, prefix_search, sql_functions, sql_hashes, sql_encoding, pretokenize_fallback, all_token_bytes, vocab_listing,
     )
 } | {
     "hash_djb2": _hash(H.djb2), "hash_fnv1a": _hash(H.fnv1a), "hash_sdbm": _hash(H.sdbm), "hash_murmur3": _hash(H.murmur3),

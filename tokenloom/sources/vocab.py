@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Single-byte ids, pair ranks and the like fit three bytes.
 ABSENT = 0xFFFFFF
+#: Tokens up to which a vocabulary's table (about 50 bytes a token) is broadcast.
+MOST_TOKENS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -82,6 +85,15 @@ class Encoding:
     def encoder_table(self, spark: SparkSession) -> DataFrame:
         return self.table(spark).filter("bytes IS NOT NULL").groupBy("bytes").agg(F.max("id").alias("id"))
 
+    def lookup(self, spark: SparkSession) -> DataFrame:
+        """bytes, id; broadcast unless there are very many tokens."""
+        found = spark.createDataFrame([(bytearray(b), i) for b, i in self.encoder.items()], "bytes binary, id int")
+        return F.broadcast(found) if len(self.encoder) <= MOST_TOKENS else found
+
+    def byte_values(self, spark: SparkSession) -> DataFrame:
+        """The bytes of every token of the encoder and every special token."""
+        return self.encoder_table(spark).select("bytes").unionByName(self.special_table(spark).select(F.encode("token", "UTF-8").alias("bytes")))
+
     def special_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.specials.items()), "token string, id int")
 
@@ -109,13 +121,15 @@ def load_encoding(path: str) -> Encoding:
         return parse(f.read())
 
 
-def fetch_encoding(url: str, timeout: float = 60) -> Encoding:
-    """The same from a URL that the caller names."""
+def fetch_encoding(urls: str | Sequence[str], timeout: float = 60) -> Encoding:
+    """The same from the first of the caller's addresses that has a vocabulary."""
     from urllib.request import urlopen
 
-    try:
-        with urlopen(url, timeout=timeout) as answer:
-            content = answer.read().decode("utf-8")
-    except Exception as e:
-        raise ValueError(f"cannot load {url}: {e}") from e
-    return parse(content)
+    failed: Exception | None = None
+    for url in [urls] if isinstance(urls, str) else urls:
+        try:
+            with urlopen(url, timeout=timeout) as answer:
+                return parse(answer.read().decode("utf-8"))
+        except Exception as e:
+            failed = e
+    raise ValueError(f"no address has a vocabulary: {failed}") from failed
