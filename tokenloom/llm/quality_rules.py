@@ -10,8 +10,10 @@ most ``trusted_rows`` labelled documents, those with the smallest hashed ids.
 
 A null or empty text has no words: all its counts are 0, its score is 0 and
 the base rules reject it. Without labels, and for an empty table, the two
-models agree, every score is 0 and only the base rules decide. Repeated rows
-get a row each. The filter keeps all columns, whatever their names.
+models agree, every score is 0 and only the base rules decide. A very long text is
+counted and scored whole, in a slice of its own. Repeated rows get a row each; a
+score equal to the threshold stays; labelled ids with equal hashes are taken by
+id. The filter keeps all columns, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,13 +1,20 @@
-"""Tables that cut lineage, in the folder that every executor shares."""
+"""Tables that cut lineage, in the folder that every executor shares.
+
+They are removed when the program ends, and by ``drop`` as soon as nothing needs them.
+"""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.names import unused
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
@@ -20,8 +27,38 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+_MADE: list[str] = []
+_APPLICATIONS: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/tokenloom/{uuid.uuid4().hex}/{label}"
+    application = spark.sparkContext.applicationId
+    folder = f"{shared_folder(spark)}/tokenloom/{application}"
+    if application not in _APPLICATIONS:
+        _APPLICATIONS.add(application)
+        atexit.register(_remove, spark, folder)
+    _MADE.append(f"{folder}/{uuid.uuid4().hex}/{label}")
+    return _MADE[-1]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        fs, where = filesystem(spark, path)
+        fs.delete(where, True)
+    elif path.startswith("file:"):  # the session is over
+        shutil.rmtree(path.removeprefix("file:").replace("//", "/"), ignore_errors=True)
+
+
+def made() -> int:
+    """The number of tables so far, for ``drop``."""
+    return len(_MADE)
+
+
+def drop(spark: SparkSession, since: int) -> None:
+    """Remove all tables made since then but the last one, which must not need them any more."""
+    for path in _MADE[since:-1]:
+        _remove(spark, path.rpartition("/")[0])
+    del _MADE[since:-1]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -32,17 +69,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """These names, with underscores added until ``df`` has no such column."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def one_of_each(df: DataFrame, *keys: Column) -> DataFrame:
     """Of the rows with equal keys, the one with the smallest hash of all columns; aggregated before it is shuffled."""
     names = unused(df, *[f"_k{n}" for n in range(len(keys))])

@@ -4,24 +4,34 @@ A store is a folder of immutable Parquet shards and of numbered manifests; the
 newest manifest is the table. ``append`` writes arrivals as small shards.
 ``compact`` looks for tiers (powers of ``fanout``) with at least ``fanout``
 shards below the target size and merges each such tier into files of about the
-target size: tasks read whole shards and write one file each, so nothing is
-shuffled. A change counts once its manifest is renamed into place; if another
-writer took that number, the change is tried again on top of the new manifest,
-or given up if shards that it merged are gone. Files that no manifest names
-(lost tasks, given-up changes) are never read, and ``vacuum`` removes them.
-
-Rows, nulls, repeated rows and further columns are stored as they come; an
-empty arrival adds a version without shards. The schema of a manifest has the
-columns of all arrivals, null in the rows of those without; an arrival with a
-column of another type than before is refused.
+target size: shards are dealt over the files by their bytes, tasks read whole
+shards and write one file each, so nothing is shuffled. A change counts once its
+manifest is in place under a number that was free; if another writer took that
+number, the change is tried again on top of the new manifest, or given up if
+shards that it merged are gone. Files that no manifest names (lost tasks,
+given-up changes, a writer that died before its manifest) are never read, and
+``vacuum`` removes them.
+
+A manifest is put in place by a hard link on local and mounted file systems and
+by a rename without overwriting elsewhere. Both are atomic on POSIX systems and
+HDFS; an object store whose rename copies needs one writer at a time.
+
+Rows, nulls, repeated rows, very long texts and further columns are stored as
+they come, whatever their names; an empty arrival adds a version without shards.
+There are no ties: shards of equal size are taken by their paths. The schema of
+a manifest has the columns of all arrivals, null in the rows of those without; an
+arrival with a column of another type than before is refused.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
+import os
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +39,9 @@ from pyspark.sql import types as T
 
 from tokenloom.llm import scratch
 
+#: New files that one job writes.
+JOB_FILES = 64
+
 
 class Conflict(RuntimeError):
     """Another writer removed shards that this change needs."""
@@ -90,14 +103,24 @@ class Store:
         stream = self.fs.create(draft, False)
         stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
+        target = self._path(f"manifests/v{manifest['version']:09d}.json")
+        if self.fs.getUri().getScheme() == "file":
+            source, place = (p.toUri().getPath() for p in (draft, target))
+            try:
+                os.link(source, place)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                self.fs.delete(draft, False)
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         none = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            context.rename(self.fs.makeQualified(draft), self.fs.makeQualified(self._path(f"manifests/v{manifest['version']:09d}.json")), none)
+            context.rename(self.fs.makeQualified(draft), self.fs.makeQualified(target), none)
             return True
         except Exception as e:  # py4j wraps the Java exception
             self.fs.delete(draft, False)
-            if "AlreadyExists" in str(e):
+            if type(getattr(e, "java_exception", None)).__name__ == "JavaObject" and "FileAlreadyExistsException" in e.java_exception.getClass().getName():
                 return False
             raise
 
@@ -139,15 +162,23 @@ class Store:
                 tiers.setdefault(self.tier(shard["bytes"]), []).append(shard)
         return [sorted(t, key=lambda x: (x["bytes"], x["path"])) for _, t in sorted(tiers.items()) if len(t) >= s.fanout]
 
+    def _files(self, group: list[dict]) -> list[list[list[str]]]:
+        """The shards of each new file, dealt out by bytes, in runs of ``JOB_FILES`` files."""
+        total = sum(x["bytes"] for x in group)
+        bins: list[list] = [[0, n, []] for n in range(min(len(group), max(1, round(total / self.settings.target_bytes))))]
+        for shard in sorted(group, key=lambda x: (-x["bytes"], x["path"])):
+            least = bins[0]
+            heapq.heapreplace(bins, [least[0] + shard["bytes"], least[1], [*least[2], shard["path"]]])
+        paths = [b[2] for b in sorted(bins, key=lambda b: b[1])]
+        return [paths[i : i + JOB_FILES] for i in range(0, len(paths), JOB_FILES)]
+
     def compact(self) -> int:
         """Merge until no tier is due; the number of merges."""
         done, now = 0, self.manifest()
         while groups := self.due(now["shards"]):
             before = len(now["shards"])
             for group in groups:
-                total = sum(x["bytes"] for x in group)
-                files = max(1, round(total / self.settings.target_bytes))
-                merged = self._write(self._read([x["path"] for x in group], now["schema"]).coalesce(files))
+                merged = [f for files in self._files(group) for f in self._write(reduce(DataFrame.unionAll, [self._read(paths, now["schema"]).coalesce(1) for paths in files]))]
                 self._change(now["schema"], merged, {x["path"] for x in group})
                 done += 1
             now = self.manifest()
@@ -174,7 +205,7 @@ class Store:
 
 
 def query(spark: SparkSession, sf_dir: str, arrivals: int = 4) -> DataFrame:
-    """The whole table in ``arrivals`` appends, compacted, as the newest manifest has it."""
+    """The whole table in ``arrivals`` appends, compacted, as the newest manifest has it. Each append reads the table for its own rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store = Store(spark, scratch.fresh_path(spark, "shards"))
     for i in range(arrivals):

@@ -4,14 +4,16 @@ Nine heuristics vote good, bad or nothing on every document. The votes of all
 documents are counted by pattern (at most 3**9), and expectation-maximisation
 on these counts estimates how often each heuristic says what of good and of bad
 documents, without any label. The posteriors of the patterns then label a
-sample of at most ``sample_rows`` documents (those with the smallest hashed
-ids), on which a logistic scorer over hashed words and word marks (length,
-symbols, capitals, ending) and repeats is trained. It scores every document; one stays if its score is at
-least ``threshold``.
-
-A null or empty text has no words: only the length heuristic votes. Repeated
-rows get a row each. An empty table gives an empty result. ``keep`` passes all
-columns through, others are ignored.
+sample of at most ``sample_rows`` documents with ``sample_bytes`` of text and
+``sample_features`` features (those with the smallest hashed ids; ties by posterior
+and features), on which a logistic scorer over hashed words and word marks
+(length, symbols, capitals, ending) and repeats is trained. It scores every
+document; one stays if its score is at least ``threshold``, equality included.
+
+A null or empty text has no words: only the length heuristic votes. A very long
+text is scored whole, in a slice of its own. Repeated rows get a row each. An
+empty table gives an empty result. ``keep`` passes all columns through, whatever
+their names; others are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm import words as W
@@ -35,6 +37,8 @@ LABELLERS = ["length", "word_length", "symbols", "capitals", "variety", "punctua
 class Settings:
     buckets: int = 1 << 16
     sample_rows: int = 12_000
+    sample_bytes: int = 256 << 20
+    sample_features: int = 30_000_000
     rounds: int = 100
     steps: int = 60
     rate: float = 1.0
@@ -219,9 +223,13 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
         return pa.table({"weights": pa.array([np.round(w, 9).tolist()])})
 
     key = F.xxhash64("doc_id")
-    largest = rows.select(key.alias("h")).orderBy("h").limit(s.sample_rows).agg(F.max("h")).first()[0]
+    first = rows.select(key.alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("h", "size").limit(s.sample_rows)
+    before = F.sum("size").over(Window.orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")  # over sample_rows rows
+    largest = first.withColumn("before", before).filter(F.col("before") <= s.sample_bytes).agg(F.max("h")).first()[0]
     near = rows.select(key.alias("h"), "text").filter(F.col("h") <= F.lit(largest if largest is not None else 0))
     sample = near.mapInArrow(sampled, "h long, target double, bucket array<int>, weight array<float>").orderBy("h", "target", F.hash("bucket")).limit(s.sample_rows)
+    before = F.sum("size").over(Window.orderBy("h", "target", "tie").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    sample = sample.select("*", F.size("bucket").alias("size"), F.hash("bucket").alias("tie")).withColumn("before", before).filter(F.col("before") <= s.sample_features).drop("size", "tie", "before")
     learnt = sample.groupBy().applyInArrow(learn, "weights array<double>").collect() if largest is not None else []
     weights = np.array(learnt[0][0]) if learnt else np.zeros(s.buckets + 2)
     return Model(posterior, weights, accuracies(table), float(prior[0]))
