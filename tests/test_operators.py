@@ -79,7 +79,9 @@ def test_merge_query_takes_pieces_of_any_length(spark, tmp_path):
     assert {r.hx: r.parts for r in queries.first_byte_merge(spark, str(tmp_path)).collect()} == want
 
 
-def test_both_encoding_plans(spark, encoding):
+@pytest.mark.parametrize("most", [E.MOST_PIECES, 3, 0])
+def test_both_encoding_plans(spark, encoding, monkeypatch, most):
+    monkeypatch.setattr(E, "MOST_PIECES", most)
     df = spark.createDataFrame(list(enumerate(TEXTS)), "k int, text string")
     for plan in ("rows", "columns"):
         got = dict(E.encode_ordinary(df, encoding, plan=plan, key="k").select("k", "tokens").collect())
@@ -220,7 +222,9 @@ def test_small_tables_are_dealt_out_and_large_ones_left(spark):
     assert spread(small.limit(0)).count() == 0
 
 
-def test_encoding_with_null_keys_and_clashing_names(spark, encoding):
+@pytest.mark.parametrize("most", [E.MOST_PIECES, 3])
+def test_encoding_with_null_keys_and_clashing_names(spark, encoding, monkeypatch, most):
+    monkeypatch.setattr(E, "MOST_PIECES", most)
     rows = [(n if n else None, t) for n, t in enumerate(TEXTS)]
     names = ["_key", "_tokens", "_ids", "_values", "tokens", "ids", "pos", "piece", "id", "data", "known", "all", "key", "bytes", "_plain", "_special"]
     df = spark.createDataFrame([(*r, *names) for r in rows], "k int, text string, " + ", ".join(f"{n} string" for n in names))

@@ -4,14 +4,18 @@ Texts are cut into pieces by columns; a piece is a string with one character a
 byte. ``encode_ordinary`` has two plans with equal results. ``rows`` hands each
 Arrow batch of pieces to a Python worker, which codes the batch's distinct pieces
 and gathers their ids by offsets: no loop over rows, no shuffle, any key, batch or
-stream. ``columns`` stays in the JVM: pieces are exploded, each distinct piece is
-looked up and merged once, and the ids are gathered by key.
+stream. ``columns`` stays in the JVM: distinct pieces are counted, and the
+``MOST_PIECES`` most frequent that are no tokens are merged once and sent out with
+the vocabulary as constant arrays, in which each row looks its pieces up. Rows with
+a rarer piece, if there are more, are exploded, joined with merged pieces, and
+gathered by key; the pieces that would be hot keys are not among them.
 
 A result column replaces one of its name. A null value gives a null.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
@@ -23,11 +27,14 @@ from pyspark.sql import types as T
 
 from tokenloom.functions import merge
 from tokenloom.functions import text as X
+from tokenloom.functions.search import below
 from tokenloom.names import unused
 from tokenloom.sources.vocab import Encoding
 
 #: Distinct pieces that a worker remembers before it starts anew.
 CACHE_PIECES = 200_000
+#: Merged pieces that the plan ``columns`` sends out, some 50 bytes each.
+MOST_PIECES = 100_000
 #: Before the name of a special token among pieces, which have no such character.
 SPECIAL = "\ue000"
 
@@ -107,18 +114,33 @@ def encode_ordinary(df: DataFrame, encoding: Encoding, text: str = "text", out:
     if plan != "columns" or key is None:
         raise ValueError("plan is rows, or columns with a key")
     spark = df.sparkSession
-    own_key, ids = unused(df, "_key", "_ids")
-    pieces = df.select(df[key].alias("key"), F.posexplode(X.pieces(df[text])).alias("pos", "piece"))
-    vocab = encoding.lookup(spark).select(F.col("bytes").alias("known"), F.col("id"))
-    found = pieces.join(vocab, X.piece_bytes(F.col("piece")) == F.col("known"), "left")
-    missing = found.filter("id IS NULL").select("key", "pos", X.piece_bytes(F.col("piece")).alias("data"))
-    hits = found.filter("id IS NOT NULL").select("key", "pos", F.array("id").alias("ids"))
-    merged = missing.join(encode_pieces(missing.select("data").distinct(), encoding, "data", "ids"), "data").select("key", "pos", "ids")
-    lists = hits.unionByName(merged).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("all"))
-    lists = lists.select(F.col("key").alias(own_key), F.flatten(F.transform("all", lambda x: x["ids"])).alias(ids))
-    joined = df.join(lists, df[key].eqNullSafe(lists[own_key]), "left")
-    none = F.when(df[text].isNotNull(), F.array().cast("array<int>"))
-    return joined.select(*[df[c] for c in df.columns if c.lower() != out.lower()], F.coalesce(lists[ids], none).alias(out))
+    own_key, codes, ids = unused(df, "_key", "_codes", "_ids")
+    pieces, vocab = X.pieces(df[text]), encoding.lookup(spark)
+    others = [df[c] for c in df.columns if c.lower() != out.lower()]
+    counted = df.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    missing = counted.join(vocab, X.piece_bytes(F.col("piece")) == vocab["bytes"], "left_anti")
+    frequent = missing.orderBy(F.desc("n"), "piece").limit(MOST_PIECES + 1).select(X.piece_bytes(F.col("piece")).alias("data"))
+    merged = encode_pieces(frequent, encoding, "data", "ids").collect()
+    known = {b.decode("latin-1"): [i] for b, i in encoding.encoder.items()} | {bytes(r.data).decode("latin-1"): r.ids for r in merged}
+    names = sorted(known)
+    place = F.from_json(F.lit(json.dumps(names)), "array<string>")
+    lists = F.from_json(F.lit(json.dumps([known[n] for n in names])), "array<array<int>>")
+
+    def found(piece: Column) -> Column:
+        at = F.transform(F.array(below(place, len(names), piece)), lambda i: F.when(F.get(place, i) == piece, F.get(lists, i)))
+        return at[0]
+
+    coded = df.withColumn(codes, F.transform(pieces, found))
+    if len(merged) <= MOST_PIECES:
+        return coded.select(*others, F.flatten(coded[codes]).alias(out))
+    rare = F.exists(coded[codes], lambda c: c.isNull())
+    each = coded.filter(rare).select(df[key].alias("key"), F.posexplode(F.arrays_zip(pieces.alias("piece"), coded[codes].alias("ids"))).alias("pos", "own")).select("key", "pos", "own.piece", "own.ids")
+    rest = each.filter("ids IS NULL").select("key", "pos", X.piece_bytes(F.col("piece")).alias("data"))
+    rest = rest.join(encode_pieces(rest.select("data").distinct(), encoding, "data", "ids"), "data").select("key", "pos", "ids")
+    gathered = each.filter("ids IS NOT NULL").select("key", "pos", "ids").unionByName(rest).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("all"))
+    gathered = gathered.select(F.col("key").alias(own_key), F.flatten(F.transform("all", lambda x: x["ids"])).alias(ids))
+    joined = coded.join(gathered, df[key].eqNullSafe(gathered[own_key]), "left")
+    return joined.select(*others, F.coalesce(F.when(~rare, F.flatten(coded[codes])), gathered[ids]).alias(out))
 
 
 def encode_pieces(distinct: DataFrame, encoding: Encoding, data: str, out: str) -> DataFrame:

@@ -39,5 +39,12 @@ def derived_encoding(docs: DataFrame) -> Encoding:
     return Encoding(tuple(tokens), {t: i for i, t in enumerate(SPECIALS)})
 
 
+_MADE: dict[tuple[str, str], Encoding] = {}
+
+
 def of(spark: SparkSession, sf_dir: str) -> Encoding:
-    return derived_encoding(table(spark, sf_dir, "documents"))
+    """The vocabulary of a folder's documents, made once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MADE:
+        _MADE[key] = derived_encoding(table(spark, sf_dir, "documents"))
+    return _MADE[key]
