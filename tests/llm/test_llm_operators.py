@@ -57,6 +57,12 @@ def test_speculation_and_exact_merging_match_the_library(library):
     want = [[t.id for t in library.model.tokenize(p)] for p in pieces]
     assert ours.encode_pieces(pieces) == want
     assert [ours.exact(p) for p in pieces] == want
+    assert ours.exact_all(pieces) == want and ours.exact_all([]) == [] and ours.exact_all(["", "a"]) == [[], ours.exact("a")]
+    odd = ["ab" * 16, "the" * 30, "x" * 64, "y" * 65, "zq" * 200, "日本", "a日", "\u0123\u0124b"]  # of all widths, longer, and with letters that are no tokens
+    assert ours.exact_all(odd) == [ours.exact(p) for p in odd]
+    letters = [*bpe.LETTERS.values()]
+    random_pieces = ["".join(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(3000)]
+    assert ours.exact_all(random_pieces) == [[t.id for t in library.model.tokenize(p)] for p in random_pieces]
 
 
 def test_small_slices_change_nothing(library):

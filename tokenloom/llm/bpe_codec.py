@@ -4,7 +4,8 @@ Greedy longest match proposes the tokens of each distinct piece. A sequence of
 tokens is the BPE result exactly if each token is the result of its own text
 and no merge can fire across any adjacent pair before both sides are complete;
 that test runs on all pairs of a batch at once, down the merge trees. Pieces
-with a failing pair go through exact merging.
+with a failing pair go through exact merging, a merge of all of them at a time;
+very long ones by a heap.
 
 A null text counts as empty, an empty text has no ids, a very long one is encoded
 whole, in a slice of its own. Repeated rows get a row each and are encoded alike;
@@ -22,6 +23,7 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ from tokenloom.llm import bpe
 from tokenloom.llm import words as W
 
 NEVER = np.int64(1) << 40
+#: Widths in letters of the tables in which pieces are merged together; longer ones are merged alone.
+WIDTHS = (8, 16, 32, 64)
 
 
 class SpeculativeBpe:
@@ -58,6 +62,15 @@ class SpeculativeBpe:
         pairs = np.array([(x * n + y, r) for (x, y), (r, _) in self.rank.items()], np.int64).reshape(-1, 2)
         pairs = pairs[np.argsort(pairs[:, 0])]
         self.keys, self.ranks = pairs[:, 0], pairs[:, 1]
+        #: Merges in the order of their ranks: the pair, and the token it makes.
+        ordered = sorted(((r, x * n + y, z) for (x, y), (r, z) in self.rank.items()))
+        self.pairs = pd.Index(np.array([key for _, key, _ in ordered], np.int64))
+        self.results = np.array([z for _, _, z in ordered], np.int64)
+        letters = {ord(t): i for t, i in self.vocab.items() if len(t) == 1}
+        last = {ord(t[0]): i for t, i in self.vocab.items() if len(t) == 1 + len(self.suffix) and t.endswith(self.suffix)}
+        self.letters = np.full((2, max([*letters, *last, 0]) + 2), -1, np.int64)  # the last place is for all others
+        for row, found in enumerate((letters, last)):
+            self.letters[row, list(found)] = list(found.values())
         self.sound = self._sound(makers)
         inner: dict[str, int] = {}
         final: dict[str, int] = {}
@@ -165,6 +178,64 @@ class SpeculativeBpe:
                     heapq.heappush(heap, (r, k, made, pair))
         return [t for t in ids if t >= 0]
 
+    def exact_all(self, pieces: list[str]) -> list[list[int]]:
+        """Exact merging of many pieces: the merge that comes next in each of them, all at once."""
+        out: list[list[int] | None] = [None] * len(pieces)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        codes = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4").astype(np.int64)
+        ends = np.cumsum(size)
+        own = np.repeat(np.arange(len(pieces)), size)
+        ids = self.letters[0][np.minimum(codes, self.letters.shape[1] - 1)]
+        some = size > 0
+        ids[ends[some] - 1] = self.letters[1][np.minimum(codes[ends[some] - 1], self.letters.shape[1] - 1)]
+        plain = (np.bincount(own, weights=ids < 0, minlength=len(pieces)) == 0) & some  # letters without a token go to the other form
+        low = 0
+        for width in WIDTHS:
+            rows = np.flatnonzero(plain & (size > low) & (size <= width))
+            low = width
+            if len(rows):
+                table = np.full((len(rows), width), -1, np.int64)
+                table[np.arange(width) < size[rows, None]] = ids[W.spans(ends[rows] - size[rows], size[rows])]
+                for i, found in zip(rows.tolist(), self._merged(table, size[rows])):
+                    out[i] = found
+        return [self.exact(p) if found is None else found for p, found in zip(pieces, out)]
+
+    def _places(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The places of merges in their order; past the end for pairs that do not merge."""
+        found = self.pairs.get_indexer(np.where((x < 0) | (y < 0), -1, x * self.n + y).ravel()).reshape(x.shape)
+        return np.where(found < 0, len(self.results), found)
+
+    def _merged(self, table: np.ndarray, size: np.ndarray) -> list[list[int]]:
+        """Rows of ids, -1 behind them, after all their merges."""
+        n, width = table.shape
+        done, left = table.copy(), size.copy()
+        live, column = np.arange(n), np.arange(width)
+        rank = self._places(table[:, :-1], table[:, 1:])
+        while len(live):
+            at = rank.argmin(axis=1)  # the leftmost of equals
+            i = np.arange(len(live))
+            place = rank[i, at]
+            goes = place < len(self.results)
+            if not goes.all():
+                done[live[~goes]] = table[~goes]
+                table, rank, live, at, place = table[goes], rank[goes], live[goes], at[goes], place[goes]
+                i = np.arange(len(live))
+                if not len(live):
+                    break
+            table[i, at] = self.results[place]
+            table = np.take_along_axis(table, np.minimum(column + (column > at[:, None]), width - 1), axis=1)
+            table[:, -1] = -1
+            rank = np.take_along_axis(rank, np.minimum(column[:-1] + (column[:-1] >= at[:, None]), width - 2), axis=1)
+            rank[:, -1] = len(self.results)
+            left[live] -= 1
+            follows = at + 1 < width
+            rank[i[follows], np.minimum(at, width - 2)[follows]] = self._places(table[i, at], table[i, np.minimum(at + 1, width - 1)])[follows]
+            before = at > 0
+            rank[i[before], at[before] - 1] = self._places(table[i[before], at[before] - 1], table[i[before], at[before]])
+        lists = done[column < left[:, None]].tolist()
+        bounds = np.concatenate(([0], np.cumsum(left))).tolist()
+        return [lists[a:b] for a, b in zip(bounds, bounds[1:])]
+
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         guesses = [self.propose(p) for p in pieces]
         pairs = {a * self.n + b for g in guesses if g for a, b in zip(g, g[1:])}
@@ -175,7 +246,10 @@ class SpeculativeBpe:
         if len(new):
             checked.update(zip(new.tolist(), self.quiet(new // self.n, new % self.n).tolist()))
         n = self.n
-        return [g if g is not None and all([checked[a * n + b] for a, b in zip(g, g[1:])]) else self.exact(p) for g, p in zip(guesses, pieces)]
+        failing = [i for i, g in enumerate(guesses) if g is None or not all([checked[a * n + b] for a, b in zip(g, g[1:])])]
+        for i, ids in zip(failing, self.exact_all([pieces[i] for i in failing])):
+            guesses[i] = ids
+        return guesses
 
 
 class Codec:
