@@ -35,6 +35,7 @@ from tokenloom.llm import words as W
 NEVER = np.int64(1) << 40
 #: Widths in letters of the tables in which pieces are merged together; longer ones are merged alone.
 WIDTHS = (8, 16, 32, 64)
+TABLE_ROWS = 8192
 
 
 class SpeculativeBpe:
@@ -83,6 +84,11 @@ class SpeculativeBpe:
                 inner[text] = i
         self.inner, self.final = inner, final if self.suffix else inner
         self.longest = max(map(len, [*inner, *final, ""]))
+        #: The longest token by its first four letters; others have three at most.
+        self.reach: dict[str, int] = {}
+        for text in inner:
+            if len(text) > 3:
+                self.reach[text[:4]] = max(self.reach.get(text[:4], 0), len(text))
         self.checked: dict[int, bool] = {}
 
     def merge_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -138,12 +144,12 @@ class SpeculativeBpe:
     def propose(self, piece: str) -> list[int] | None:
         """Longest match from the left; None if some part has no token."""
         out, at, n = [], 0, len(piece)
-        inner, final = self.inner, self.final
+        inner, final, reach, most = self.inner, self.final, self.reach, len(piece) - bool(self.suffix)
         while at < n:
             if n - at <= self.longest and (t := final.get(piece[at:])) is not None:
                 out.append(t)
                 break
-            for end in range(min(n - 1 if self.suffix else n, at + self.longest), at, -1):
+            for end in range(min(most, at + reach.get(piece[at : at + 4], 3)), at, -1):
                 if (t := inner.get(piece[at:end])) is not None:
                     out.append(t)
                     at = end
@@ -191,9 +197,10 @@ class SpeculativeBpe:
         plain = (np.bincount(own, weights=ids < 0, minlength=len(pieces)) == 0) & some  # letters without a token go to the other form
         low = 0
         for width in WIDTHS:
-            rows = np.flatnonzero(plain & (size > low) & (size <= width))
+            fit = np.flatnonzero(plain & (size > low) & (size <= width))
             low = width
-            if len(rows):
+            for begin in range(0, len(fit), TABLE_ROWS):
+                rows = fit[begin : begin + TABLE_ROWS]
                 table = np.full((len(rows), width), -1, np.int64)
                 table[np.arange(width) < size[rows, None]] = ids[W.spans(ends[rows] - size[rows], size[rows])]
                 for i, found in zip(rows.tolist(), self._merged(table, size[rows])):
