@@ -28,13 +28,6 @@ def test_numbers(spark, heavy):
     assert spreading.numbered(heavy.limit(0), "place").count() == 0
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 100])
-def test_below(spark, n):
-    cuts = sorted(v // 2 for v in range(n))
-    rows = spark.range(-1, n + 2).select("id", *[spreading.below(F.lit(cuts) if cuts else F.array(), n, F.col("id"), e) for e in (False, True)]).collect()
-    assert [tuple(r) for r in rows] == [(v, sum(c < v for c in cuts), sum(c <= v for c in cuts)) for v in range(-1, n + 2)]
-
-
 def test_mixing_deals_repeated_rows_over_partitions(spark, heavy):
     rows = mixing.replicate(heavy, exponent=1.0, total=9000.0).withColumn("part", F.spark_partition_id()).collect()
     same = [r for r in rows if r.doc_id == 7]

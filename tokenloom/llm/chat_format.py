@@ -48,7 +48,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm import scratch, spreading
+from tokenloom.functions.search import below
+from tokenloom.llm import scratch
 
 ROLES = ("start", "system", "user", "assistant")
 ACTIONS = ("keep", "merge", "relabel", "insert")
@@ -293,7 +294,7 @@ def shard_of(edges: list, schema: str) -> Column:
         return F.lit(0)
     key = F.struct(*names(schema))
     array = F.from_json(F.lit(json.dumps([{c: p[c] for c in names(schema)} for p in edges])), T.ArrayType(T._parse_datatype_string(schema)))
-    return spreading.below(array, len(edges), key)
+    return below(array, len(edges), key)
 
 
 def repair(turns: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:

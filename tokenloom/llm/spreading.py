@@ -1,8 +1,8 @@
-"""Order and numbers that spread equal rows over many tasks, made from the data alone."""
+"""Numbers that spread equal rows over many tasks, made from the data alone."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm import scratch
@@ -13,15 +13,6 @@ HEAVY, SHARE = 10_000, 1e-5
 RUN = 100_000
 
 
-def below(cuts: Column, n: int, value: Column, equal: bool = False) -> Column:
-    """How many of ``n`` ascending cuts, a constant array, are smaller than a value, or equal to it: a binary search."""
-    if not n:
-        return F.lit(0)
-    steps = F.array(*[F.lit(1 << b) for b in range(n.bit_length() - 1, -1, -1)])
-    goes = lambda at: F.coalesce(F.get(cuts, at - 1) <= value if equal else F.get(cuts, at - 1) < value, F.lit(False))
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(goes(at + step), at + step).otherwise(at))
-
-
 def numbered(docs: DataFrame, number: str, heavy: int | None = None) -> DataFrame:
     """``docs`` with a number that differs between equal rows of heavy ids; 0 elsewhere.
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.functions.search import below
 from tokenloom.llm import bpe, scratch, spreading
 from tokenloom.llm import words as W
 
@@ -47,7 +48,7 @@ def shard_column(docs: DataFrame, shards: int, salt: Column) -> Column:
     steps = [i / shards for i in range(1, shards)]
     cuts = sorted(docs.select(F.percentile_approx(key, steps, 20 * shards)).first()[0] or []) if steps else []
     array = F.lit(cuts) if cuts else F.array()
-    first, last = spreading.below(array, len(cuts), key), spreading.below(array, len(cuts), key, equal=True)
+    first, last = below(array, len(cuts), key), below(array, len(cuts), key, equal=True)
     return F.when(last > first, first + F.pmod(salt, last - first).cast("int")).otherwise(first)
 
 
