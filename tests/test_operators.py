@@ -12,6 +12,7 @@ from tokenloom.functions import merge as M
 from tokenloom.functions import sql as S
 from tokenloom.functions import text as X
 from tokenloom.functions.decode import decode, token_bytes
+from tokenloom.functions.search import below
 from tokenloom.operators import encode as E
 from tokenloom.operators import subwords
 from tokenloom.plans import derived, queries
@@ -346,3 +347,10 @@ def test_sql_names_with_a_vocabulary(spark, encoding):
             assert r.k == len(r.ids) and r.back == t.split("\0")[0].replace("_", "") and r.m == merged(t.encode(), encoding)
     one = spark.sql("SELECT loom_token_bytes(1) AS a, loom_token_bytes(-1) AS b, loom_decode_bytes(array(1, 99999)) AS c, loom_encode_piece(CAST('hello' AS BINARY)) AS d, loom_encode_bytes(CAST('zz' AS BINARY)) AS e").first()
     assert (bytes(one.a), bytes(one.b), bytes(one.c)) == (b"<s>", b"", b"<s>") and one.d == [encoding.encoder[b"hello"]] and len(one.e) == 2
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 100])
+def test_binary_search(spark, n):
+    cuts = sorted(v // 2 for v in range(n))
+    rows = spark.range(-1, n + 2).select("id", *[below(F.lit(cuts) if cuts else F.array(), n, F.col("id"), e) for e in (False, True)]).collect()
+    assert [tuple(r) for r in rows] == [(v, sum(c < v for c in cuts), sum(c <= v for c in cuts)) for v in range(-1, n + 2)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,7 +18,9 @@ def ship(spark: SparkSession) -> SparkSession:
     application = spark.sparkContext.applicationId
     if application not in _SENT:
         package = Path(__file__).resolve().parent
-        archive = Path(tempfile.mkdtemp(prefix="tokenloom-")) / f"{package.name}.zip"
+        folder = tempfile.mkdtemp(prefix="tokenloom-")  # the driver's own; executors fetch the file from the driver
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = Path(folder) / f"{package.name}.zip"
         with zipfile.ZipFile(archive, "w") as out:
             for source in sorted(package.rglob("*.py")):
                 out.write(source, source.relative_to(package.parent).as_posix())
