@@ -400,12 +400,13 @@ def test_shard_store_keeps_columns_of_later_arrivals(spark):
     assert store.version() == version
 
 
-@pytest.mark.parametrize("name", ["op4_shard_store", "op8_exact_dedup", "op10_source_mixing"])
+@pytest.mark.parametrize("name", ["op4_shard_store", "op5_quality_rules", "op8_exact_dedup", "op10_source_mixing"])
 def test_sql(spark, name):
     import __spark_entry__
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = __spark_entry__.queries()[name](spark, DATA).toPandas(), con.execute(__spark_entry__.oracle_sql()[name]).df()
     rows = lambda df: sorted(map(tuple, df[sorted(want.columns)].astype(str).to_numpy()))
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)

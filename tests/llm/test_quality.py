@@ -1,5 +1,6 @@
 """The two quality operators against plain Python."""
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -22,7 +23,7 @@ def ascii_lower(word):
 
 def grams(text, buckets):
     """Buckets of the unigrams and bigrams."""
-    h = [int.from_bytes(xxhash.xxh3_64_digest(ascii_lower(w.decode()))) for w in text.encode().split()]
+    h = [int.from_bytes(hashlib.md5(ascii_lower(w.decode())).digest()[:8]) for w in text.encode().split()]
     out = [(x >> 32) % buckets for x in h]
     for x, y in zip(h, h[1:]):
         p = (x * 0x9E3779B97F4A7C15 + y * 0xC2B2AE3D27D4EB4F) & M
@@ -42,7 +43,7 @@ def failed(text):
 def test_likelihood_ratio_and_verdict(spark, settings):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
-    order = labels.selectExpr("doc_id", "xxhash64(doc_id) AS h", "quality", "toxic").filter("quality = 1 AND toxic = 0").orderBy("h", "doc_id").limit(settings.trusted_rows)
+    order = labels.selectExpr("doc_id", "md5(CAST(doc_id AS STRING)) AS h", "quality", "toxic").filter("quality = 1 AND toxic = 0").orderBy("h", "doc_id").limit(settings.trusted_rows)
     trusted = {r.doc_id for r in order.collect()}
     raw, target = Counter(), Counter()
     for i, t in texts.items():

@@ -32,6 +32,8 @@ from tokenloom.llm import words as W
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Odd numbers that mix the hashes of two words.
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)
 SLICE_BYTES = 3 << 20
 COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double"
 
@@ -47,10 +49,11 @@ class Settings:
 
 
 def hashes(vocabulary: pa.Array) -> np.ndarray:
-    import xxhash
+    """The first eight bytes of the MD5 of each word, lower-cased; SQL has the same."""
+    from hashlib import md5
 
-    digest = xxhash.xxh3_64_digest
-    return np.frombuffer(b"".join([digest(w) for w in pc.ascii_lower(vocabulary).cast(pa.large_binary()).to_pylist()]), ">u8").astype(np.uint64)
+    raw = b"".join([md5(w, usedforsecurity=False).digest() for w in pc.ascii_lower(vocabulary).cast(pa.large_binary()).to_pylist()])
+    return np.frombuffer(raw, ">u8")[::2].astype(np.uint64)
 
 
 def ngrams(words: W.Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,9 +61,9 @@ def ngrams(words: W.Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     h = hashes(words.vocabulary)[words.codes]
     text = np.repeat(np.arange(len(words.bounds) - 1), words.counts)
     inside = text[1:] == text[:-1]
-    pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))[inside]
+    pair = (h[:-1] * np.uint64(MIX[0]) + h[1:] * np.uint64(MIX[1]))[inside]
     pair ^= pair >> np.uint64(29)
-    pair *= np.uint64(0xBF58476D1CE4E5B9)
+    pair *= np.uint64(MIX[2])
     bucket = np.concatenate((h >> np.uint64(32), pair >> np.uint64(32))) % np.uint64(buckets)
     return bucket.astype(np.int64), np.concatenate((text, text[:-1][inside] if len(text) else text))
 
@@ -121,7 +124,7 @@ def base_counts(column: pa.Array, words: W.Words) -> list[np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndarray:
     """Log-ratio of target and raw probability by bucket: ``buckets`` numbers."""
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    trusted = np.array(sorted(r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.trusted_rows).collect()), np.int64)
+    trusted = np.array(sorted(r[0] for r in good.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(s.trusted_rows).collect()), np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(s.buckets, np.int64), np.zeros(s.buckets, np.int64)
@@ -182,4 +185,34 @@ def keep(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFr
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.withColumn("llr_micro", F.round(F.col("llr") * 1e6).cast("long")).drop("llr")
+
+
+_S = Settings()
+_M64 = "CAST(18446744073709551616 AS UHUGEINT)"
+_PAIR = f"CAST((CAST(h AS UHUGEINT) * {MIX[0]} % {_M64} + CAST(nxt AS UHUGEINT) * {MIX[1]} % {_M64}) % {_M64} AS UBIGINT)"
+SQL = rf"""
+WITH words AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+tok AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM words),
+code AS (SELECT word, CAST('0x' || substr(md5(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 1, 16) AS UBIGINT) AS h FROM (SELECT DISTINCT word FROM tok)),
+coded AS (SELECT doc_id, h, lead(h) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM tok JOIN code USING (word)),
+pair AS (SELECT doc_id, {_PAIR} AS p FROM coded WHERE nxt IS NOT NULL),
+gram AS (SELECT doc_id, (h >> 32) % {_S.buckets} AS b FROM coded
+  UNION ALL SELECT doc_id, (CAST(CAST(xor(p, p >> 29) AS UHUGEINT) * {MIX[2]} % {_M64} AS UBIGINT) >> 32) % {_S.buckets} FROM pair),
+trusted AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL) ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT {_S.trusted_rows}),
+counted AS (SELECT b, count(*) AS raw, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM trusted)) AS target FROM gram GROUP BY b),
+total AS (SELECT CAST(sum(raw) AS DOUBLE) AS raws, CAST(sum(target) AS DOUBLE) AS targets FROM counted),
+model AS (SELECT b, CASE WHEN targets = 0 THEN 0.0 ELSE ln(target + {_S.smoothing}) - ln(raw * (targets / raws) + {_S.smoothing}) END AS m FROM counted, total),
+score AS (SELECT doc_id, round(sum(m) / count(*), 9) AS llr FROM gram JOIN model USING (b) GROUP BY doc_id),
+win AS (SELECT doc_id, i, w[i:i + {WINDOW - 1}] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM words)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1),
+cover AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat FROM twice, range(0, {WINDOW}) r(k) GROUP BY doc_id),
+line AS (SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id, l) AS nth FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM words)),
+again AS (SELECT doc_id, count(*) AS n_lines FROM line WHERE nth > 1 AND regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_lines, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, coalesce(llr, 0.0) AS llr
+  FROM words LEFT JOIN again USING (doc_id) LEFT JOIN cover USING (doc_id) LEFT JOIN score USING (doc_id)),
+judged AS (SELECT *, n_words < {_S.min_words} OR 100 * n_repeat_words > {_S.repeat_percent} * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND llr >= {_S.threshold} AS kept, CAST(round(llr * 1e6) AS BIGINT) AS llr_micro FROM judged
+"""

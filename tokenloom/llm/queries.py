@@ -30,6 +30,7 @@ QUERIES = {
 
 SQL = {
     "op4_shard_store": shard_store.SQL,
+    "op5_quality_rules": quality_rules.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op10_source_mixing": mixing.SQL,
 }
