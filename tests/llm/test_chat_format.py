@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,14 @@ def test_very_long_texts_and_clashing_names(spark, long_text):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'s' AS seq", "1.5 AS salt", "'h' AS h", "'c' AS code", "'p' AS piece", "'z' AS shard")
     got = sorted(chat_format.repair(df).collect(), key=lambda r: r.seq)
     assert [(r.conv_id, r.turn, r.action, len(r.rendered)) for r in got] == [(1, 0, "keep", len(long_text) + 9), (1, 1, "merge", 2), (1, 2, "keep", len(long_text) + 8 + 14 + 8), (2, 0, "keep", 18)]
+
+
+def test_sql_on_messy_roles(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(conv or None, n, rng.choice(["user", "assistant", "system", "tool", None, " User"]), None if rng.random() < 0.1 else f"t{n}") for conv in range(150) for n in range(rng.randint(1, 14))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = chat_format.query(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({chat_format.sql()}) ORDER BY seq").fetchall()
+    assert sorted(map(tuple, got.collect())) == want and {r[5] for r in want} == set(chat_format.ACTIONS)

@@ -400,12 +400,12 @@ def test_shard_store_keeps_columns_of_later_arrivals(spark):
     assert store.version() == version
 
 
-@pytest.mark.parametrize("name", ["op4_shard_store", "op5_quality_rules", "op8_exact_dedup", "op10_source_mixing"])
+@pytest.mark.parametrize("name", ["op1_chat_format", "op4_shard_store", "op5_quality_rules", "op8_exact_dedup", "op10_source_mixing"])
 def test_sql(spark, name):
     import __spark_entry__
 
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = __spark_entry__.queries()[name](spark, DATA).toPandas(), con.execute(__spark_entry__.oracle_sql()[name]).df()
     rows = lambda df: sorted(map(tuple, df[sorted(want.columns)].astype(str).to_numpy()))

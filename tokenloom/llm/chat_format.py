@@ -351,3 +351,32 @@ def repair(turns: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def sql() -> str:
+    """The same programme turn by turn; rows of one turn and role are taken by text, so it holds for tables without such ties."""
+    moves = []
+    for role in range(4):
+        for s, after in NEXT.items():
+            moves += [(role, s, t, KEEP, 0, 0) if t == role else (role, s, t, RELABEL, 0, RELABEL) for t in after]
+            moves += [(role, s, role, INSERT, t, INSERT) for t in after if role and role in NEXT[t]]
+            if s:
+                moves.append((role, s, s, MERGE, 0, MERGE if s == role else MERGE + RELABEL))
+    names = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+    head = f"'<|' || {names(ROLES)}[state + 1] || '|>' || chr(10)"
+    empty = f"CASE WHEN extra > 0 THEN '<|' || {names(ROLES)}[extra + 1] || '|>' || chr(10) || '<|end|>' || chr(10) ELSE '' END"
+    return f"""
+WITH RECURSIVE move(code, before, state, action, extra, price) AS (VALUES {", ".join(map(str, moves))}),
+said AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, CASE lower(trim(role)) WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'assistant' THEN 3 ELSE 0 END AS code FROM conversations),
+turns AS (SELECT *, row_number() OVER (ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text) - 1 AS seq,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM said),
+step(conv_id, n, state, cost, path) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), CAST([] AS STRUCT(state INT, action INT, extra INT, price INT)[]) FROM turns
+  UNION ALL SELECT t.conv_id, t.n, m.state, min(s.cost + m.price), arg_min(list_append(s.path, {{'state': m.state, 'action': m.action, 'extra': m.extra, 'price': m.price}}), (s.cost + m.price) * 1000 + m.action * 100 + m.before * 10 + m.extra)
+  FROM step s JOIN turns t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.n = s.n + 1 JOIN move m ON m.code = t.code AND m.before = s.state GROUP BY t.conv_id, t.n, m.state),
+best AS (SELECT s.conv_id, arg_min(path, cost * 10 + state) AS path FROM step s JOIN (SELECT conv_id, max(n) AS n FROM turns GROUP BY conv_id) l ON l.conv_id IS NOT DISTINCT FROM s.conv_id AND l.n = s.n GROUP BY s.conv_id),
+done AS (SELECT t.*, b.path[t.n].state AS state, b.path[t.n].action AS action, b.path[t.n].extra AS extra, b.path[t.n].price AS price FROM turns t JOIN best b ON b.conv_id IS NOT DISTINCT FROM t.conv_id)
+SELECT seq, conv_id, turn, role, {names(ROLES)}[state + 1] AS new_role, {names(ACTIONS)}[action + 1] AS action, CASE WHEN extra > 0 THEN {names(ROLES)}[extra + 1] END AS inserted, CAST(price AS INT) AS cost,
+  CASE WHEN action = {MERGE} THEN chr(10) ELSE CASE WHEN n > 1 THEN '<|end|>' || chr(10) ELSE '' END || {empty} || {head} END || text || CASE WHEN n = total THEN '<|end|>' || chr(10) ELSE '' END AS rendered
+FROM done
+"""

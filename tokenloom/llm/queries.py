@@ -29,6 +29,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_chat_format": chat_format.sql(),
     "op4_shard_store": shard_store.SQL,
     "op5_quality_rules": quality_rules.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
