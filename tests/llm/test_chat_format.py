@@ -18,11 +18,11 @@ def chat_best(roles):
         for s, c in costs.items():
             ways = []
             for t in chat_format.NEXT[s]:
-                ways.append((0 if t == r else 2, t))
+                ways.append((0 if t == r else 3, t))
                 if r and r in chat_format.NEXT[t]:
-                    ways.append((3, r))
+                    ways.append((2, r))
             if s:
-                ways.append((1 if s == r else 3, s))
+                ways.append((1 if s == r else 4, s))
             for w, t in ways:
                 new[t] = min(new.get(t, 99999), c + w)
         costs = new
@@ -54,7 +54,7 @@ def test_chat_repair(spark):
     assert [r.turn for r in got if r.conv_id == 0] == list(range(400))
     assert chat_format.repair(df.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, None, None, None, None)] * 2 + [(1, 0, "USER ", None, "x")], df.schema)
-    assert sorted(r.action for r in chat_format.repair(odd).collect()) == ["keep", "relabel", "relabel"]  # 2 + 2, a merge under another role would cost 3
+    assert sorted(r.action for r in chat_format.repair(odd).collect()) == ["keep", "relabel", "relabel"]  # 3 + 3, a merge under another role would cost 4
 
 
 def chat_whole(roles):
@@ -77,11 +77,11 @@ def chat_whole(roles):
 
 def chat_ways(s, r):
     for t in chat_format.NEXT[s]:
-        yield (0, t, 0, 0) if t == r else (2, t, 2, 0)
+        yield (0, t, 0, 0) if t == r else (3, t, 3, 0)
         if r and r in chat_format.NEXT[t]:
-            yield 3, r, 3, t
+            yield 2, r, 2, t
     if s:
-        yield 1 if s == r else 3, s, 1, 0
+        yield 1 if s == r else 4, s, 1, 0
 
 
 @pytest.mark.parametrize(("parts", "piece_rows", "piece_bytes"), [(1, 10**6, 1 << 25), (5, 10**6, 1 << 25), (3, 7, 1 << 25), (4, 10**6, 15)])

@@ -3,8 +3,8 @@
 A legal conversation is an optional system turn and then user and assistant
 turns in alternation, the user first. A dynamic programme over that automaton
 picks for each turn, at the least total cost: keep it (0), merge it into the
-turn before (1), relabel it (2; merging under another role costs both), or
-insert an empty turn before it (3). Of equal costs the earlier in that order
+turn before (1), insert an empty turn before it (2), or relabel it (3; merging
+under another role costs both). Of equal costs the earlier in that order
 wins, looked at from the last turn backwards. The repaired turns are rendered
 with role headers; the fragments of a conversation, put together in the order
 of ``seq``, are its text.
@@ -52,8 +52,8 @@ from tokenloom.functions.search import below
 from tokenloom.llm import scratch
 
 ROLES = ("start", "system", "user", "assistant")
-ACTIONS = ("keep", "merge", "relabel", "insert")
-KEEP, MERGE, RELABEL, INSERT = range(4)  # also their costs
+ACTIONS = ("keep", "merge", "insert", "relabel")
+KEEP, MERGE, INSERT, RELABEL = range(4)  # also their costs
 #: Roles that may follow each state.
 NEXT = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 FAR = 1 << 50
