@@ -74,6 +74,16 @@ def test_writers_at_the_same_time_lose_nothing(spark, store):
     assert Counter(r.doc_id for r in store.read().collect()) == Counter(1000 * n + 10 * k + i for n in range(4) for k in range(3) for i in range(10))
 
 
+def test_both_ways_of_commit_refuse_a_number_that_is_taken(store):
+    for way in (store._link, store._rename):
+        target = store._path(f"manifests/{way.__name__}.json")
+        for n in range(2):
+            draft = store._path(f"manifests/.{way.__name__}{n}")
+            store.fs.create(draft, False).close()
+            assert way(draft, target) == (n == 0)
+        assert store.fs.exists(target)
+
+
 def test_a_number_is_given_once(store):
     results = []
     manifest = {"version": 1, "schema": None, "shards": []}

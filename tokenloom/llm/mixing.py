@@ -49,10 +49,12 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
     else:
         given = docs.sparkSession.createDataFrame(sorted(weights.items()), "given string, w double")
         shares = sizes.join(given, sizes.source.eqNullSafe(given.given), "left").select("source", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
-    sums = shares.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
-    target = F.col("all_n").cast("double") if total is None else F.lit(float(total))
-    joined = shares.join(F.broadcast(sums))  # one row
-    return joined.select("source", F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * target / F.col("n")).otherwise(0.0).alias("rate"))
+    shares = scratch.materialise(shares, "shares")
+    all_w, all_n = shares.agg(F.sum("w"), F.sum("n")).first()
+    if not all_w:
+        return shares.select("source", F.lit(0.0).alias("rate"))
+    target = float(all_n if total is None else total)
+    return shares.select("source", (F.col("w") / F.lit(float(all_w)) * F.lit(target) / F.col("n")).alias("rate"))
 
 
 def tables(rate: DataFrame) -> DataFrame:

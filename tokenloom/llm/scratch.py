@@ -8,6 +8,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-_MADE: list[str] = []
+class _Made(threading.local):
+    """The tables that a thread has made; threads never drop each other's."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_MADE = _Made()
 _APPLICATIONS: set[str] = set()
 
 
@@ -37,8 +45,8 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     if application not in _APPLICATIONS:
         _APPLICATIONS.add(application)
         atexit.register(_remove, spark, folder)
-    _MADE.append(f"{folder}/{uuid.uuid4().hex}/{label}")
-    return _MADE[-1]
+    _MADE.paths.append(f"{folder}/{uuid.uuid4().hex}/{label}")
+    return _MADE.paths[-1]
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -50,15 +58,15 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def made() -> int:
-    """The number of tables so far, for ``drop``."""
-    return len(_MADE)
+    """The number of this thread's tables so far, for ``drop``."""
+    return len(_MADE.paths)
 
 
 def drop(spark: SparkSession, since: int) -> None:
-    """Remove all tables made since then but the last one, which must not need them any more."""
-    for path in _MADE[since:-1]:
+    """Remove all tables that this thread made since then but the last one, which must not need them any more."""
+    for path in _MADE.paths[since:-1]:
         _remove(spark, path.rpartition("/")[0])
-    del _MADE[since:-1]
+    del _MADE.paths[since:-1]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

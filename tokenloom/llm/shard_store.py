@@ -33,6 +33,7 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,25 +105,28 @@ class Store:
         stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
         target = self._path(f"manifests/v{manifest['version']:09d}.json")
-        if self.fs.getUri().getScheme() == "file":
-            source, place = (p.toUri().getPath() for p in (draft, target))
-            try:
-                os.link(source, place)
-                return True
-            except FileExistsError:
-                return False
-            finally:
-                self.fs.delete(draft, False)
+        try:
+            return self._link(draft, target) if self.fs.getUri().getScheme() == "file" else self._rename(draft, target)
+        finally:
+            self.fs.delete(draft, False)
+
+    def _link(self, draft, target) -> bool:
+        try:
+            os.link(draft.toUri().getPath(), target.toUri().getPath())
+        except FileExistsError:
+            return False
+        return True
+
+    def _rename(self, draft, target) -> bool:
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         none = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
             context.rename(self.fs.makeQualified(draft), self.fs.makeQualified(target), none)
-            return True
-        except Exception as e:  # py4j wraps the Java exception
-            self.fs.delete(draft, False)
-            if type(getattr(e, "java_exception", None)).__name__ == "JavaObject" and "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
                 return False
             raise
+        return True
 
     def _change(self, schema: str | None, added: list[dict], gone: set[str]) -> int:
         while True:
